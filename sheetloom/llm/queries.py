@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, packing, quality, secrets, shards, suffix
+from . import bpe, chat, jaccard, neardup, packing, quality, secrets, shards, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.risk_controlled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_report(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,5 +54,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_sharding, op4_quality_rules, op6_suffix_array_dedup, op7_bpe, op9_best_fit_packing, op10_secret_scans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_ngram_jaccard_join,
+        op3_sharding,
+        op4_quality_rules,
+        op5_toxicity,
+        op6_suffix_array_dedup,
+        op7_bpe,
+        op8_embedding_near_dedup,
+        op9_best_fit_packing,
+        op10_secret_scans,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op4_quality_rules": quality.ORACLE, "op10_secret_scans": secrets.ORACLE}
