@@ -74,19 +74,23 @@ class WordTable:
         self.flat = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
+    def _add(self, new: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self._put(new, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths)
+
+    def _put(self, new: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids before each word."""
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.place) + len(distinct) > self.most:
             self._clear()
-        new = [w for w in distinct if w not in self.place]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.flat = np.concatenate([self.flat, *[np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))]])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self._add([w for w in distinct if w not in self.place])
         at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         lengths = self.ends[at + 1] - self.ends[at]
         before = np.concatenate([[0], np.cumsum(lengths)])
@@ -98,6 +102,48 @@ class WordTable:
         return pa.array([self.tokenizer.id_to_token(i) or "" for i in range(size)])
 
 
+class ByteWordTable(WordTable):
+    """The same for a byte-level BPE whose ids follow its merges, over pieces of spaced_pieces.
+
+    Plain pieces (a space, then anything but white space at the end, letters up to
+    U+01FF, no special token) are encoded in one run by the same merges, and the run is
+    cut by the byte lengths of its ids; other pieces go through the tokenizer one by one.
+    """
+
+    #: Fixed value: the published pattern of this kind of tokenizer.
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+    def __init__(self, path: str, most: int = 250_000):
+        import tiktoken
+
+        super().__init__(path, most)
+        # bytes that print stand for themselves in a piece, the others for 256 and up in order
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in self.tokenizer.get_vocab().items() if piece not in special}
+        self.special = [t.encode() for t in special]
+        self.run = tiktoken.Encoding("merges", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for piece, i in ranks.items():
+            self.width[i] = len(piece)
+
+    def _plain(self, w: bytes) -> bool:
+        return w[:1] == b" " and w[-1] > 0x20 and (w.isascii() or max(w) < 0xC8) and not any(t in w for t in self.special)
+
+    def _add(self, new: list[bytes]) -> None:
+        plain = [w for w in new if self._plain(w)]
+        if plain:
+            ids = np.array(self.run.encode_ordinary(b"".join(plain).decode()), np.uint32)
+            ends = np.cumsum(self.width[ids])
+            bounds = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+            cuts = np.searchsorted(ends, bounds, side="left") + 1
+            assert (ends[cuts - 1] == bounds).all(), "an id spans two pieces"
+            self._put(plain, ids, np.diff(cuts, prepend=0))
+        done = set(plain)
+        super()._add([w for w in new if w not in done])
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every text under a BPE that drops white space; null texts have no ids."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._util import checkpointed, dense_slots, slices, text_buffers
-from .bpe import WordTable, spaced_pieces
+from .bpe import ByteWordTable, spaced_pieces
 
 PLACES = ["size", "first", "n", "sequence", "offset"]
 
@@ -30,8 +30,8 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(path)
-        for part in slices(batches, "text"):
+        table = ByteWordTable(path)
+        for part in slices(batches, "text", 4 << 20):
             data, offsets = text_buffers(part.column("text"))
             words, first = spaced_pieces(data, offsets)
             ids, before = table.ids(words)
