@@ -22,8 +22,12 @@ from ._util import checkpointed, shuffle_parts, slices, text_buffers
 
 GRAM = 64
 CHUNK = 1 << 19
-#: An anchor with more different stretches than this is counted window by window instead.
+#: Different stretches of an anchor that are compared as they are; the stretches of a crowd are first cut into pieces.
 CROWD = 512
+#: Window starts of a piece; pieces of a crowd meet only where the bytes that all their windows share are equal.
+PIECE = 16
+#: Such pieces that one suffix array holds; more are counted window by window.
+PIECES = 4096
 #: Bytes that one suffix array holds.
 ARRAY_BYTES = 1 << 19
 #: Up to this many wanted stretches are sent to every executor; more are joined by a shuffle.
@@ -98,12 +102,41 @@ def stretches(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[li
         i = j
 
 
-def two_stage_suffixes(text: np.ndarray) -> np.ndarray:
+PACKED = 7
+
+
+def prefix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(width, rank of every position by its first ``width`` symbols), doubling the width until ``depth`` or until all differ.
+
+    Symbols are below 512, so that the first PACKED of them are one number; ranks past
+    the end are 0.
+    """
+    n = len(text)
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(PACKED, np.int64)])
+    key = np.zeros(n, np.int64)
+    for i in range(PACKED):
+        key = (key << 9) | padded[i : i + n]
+    width, out = PACKED, []
+    while True:
+        order = np.argsort(key)
+        ahead = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[True], ahead[1:] != ahead[:-1]]))
+        out.append((width, rank))
+        if width >= depth or width >= n or rank.max() == n:
+            return out
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:]
+        width *= 2
+
+
+def two_stage_suffixes(text: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
     """Suffix array of small non-negative integers.
 
-    Suffixes smaller than their successors are sorted directly, by doubling the compared
-    length; the others follow from them in one scan from the front: the suffix that
-    starts before a sorted one goes to the next free place of its first symbol's bucket.
+    Suffixes smaller than their successors are sorted directly, by their ranks (of the
+    last width of prefix_ranks; a bounded width sorts that many symbols); the others
+    follow from them in one scan from the front: the suffix that starts before a sorted
+    one goes to the next free place of its first symbol's bucket.
     """
     n = len(text)
     if n == 0:
@@ -112,63 +145,51 @@ def two_stage_suffixes(text: np.ndarray) -> np.ndarray:
     change = np.flatnonzero(text[1:] != text[:-1])
     rises = np.zeros(n, dtype=bool)
     if len(change):
-        run = np.searchsorted(change, np.arange(n - 1))
-        inside = run < len(change)
-        where = change[np.minimum(run, len(change) - 1)]
-        rises[:-1] = inside & (text[where + 1] > text[where])
-    direct = _sorted_directly(text, np.flatnonzero(rises))
+        steps = np.diff(np.concatenate([[-1], change]))
+        up = np.repeat(text[change + 1] > text[change], steps)
+        rises[: len(up)] = up
+    ranks = prefix_ranks(text, n)[-1][1] if ranks is None else ranks
+    wanted = np.flatnonzero(rises)
+    direct = wanted[np.argsort(ranks[wanted])]
     sizes = np.bincount(text)
-    heads = (np.cumsum(sizes) - sizes).tolist()
-    falls = (np.bincount(text[~rises], minlength=len(sizes))).tolist()
-    array = np.full(n, -1, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    falls = np.bincount(text[~rises], minlength=len(sizes))
     firsts = text[direct]
-    rank = np.arange(len(direct)) - np.searchsorted(firsts, firsts)
-    array[np.array(heads)[firsts] + np.array(falls)[firsts] + rank] = direct  # the smaller-than-successor ones end their bucket
-    order, symbols, falling = array.tolist(), text.tolist(), (~rises).tolist()
+    place = np.arange(len(direct)) - np.searchsorted(firsts, firsts)
+    array = np.full(n, -1, np.int64)
+    array[starts[firsts] + falls[firsts] + place] = direct  # those smaller than their successor end their bucket
+    # for each suffix the symbol before it if that one starts a falling suffix, else -1
+    before = np.full(n, -1, np.int64)
+    before[1:] = np.where(~rises[:-1], text[:-1], -1)
+    order, symbol, heads = array.tolist(), before.tolist(), starts.tolist()
     last = n - 1
-    order[heads[symbols[last]]] = last
-    heads[symbols[last]] += 1
+    order[heads[text[last]]] = last
+    heads[text[last]] += 1
     for i in range(n):
-        j = order[i] - 1
-        if j >= 0 and falling[j]:
-            c = symbols[j]
-            order[heads[c]] = j
+        j = order[i]
+        c = symbol[j]
+        if c >= 0:
+            order[heads[c]] = j - 1
             heads[c] += 1
     return np.array(order, np.int64)
 
 
-def _sorted_directly(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The positions ``wanted`` in the order of their suffixes."""
+def adjacent_prefixes(text: np.ndarray, array: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Common prefix length of each suffix in the array with the one before it, exact below the last width of ``ranks`` and at least that otherwise."""
     n = len(text)
-    rank = text.astype(np.int64) + 1
-    width = 1
-    while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - width)] = rank[width:]
-        key = rank * (n + 512) + ahead
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = 1 + np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        width *= 2
-        if rank.max() == n or width >= n:
-            return wanted[np.argsort(rank[wanted], kind="stable")]
-
-
-def adjacent_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix length of each suffix in the array with the one before it, up to ``most``."""
-    out = np.zeros(len(array), np.int64)
     a, b = array[1:], array[:-1]
-    open_ = np.arange(len(a))
-    padded = np.concatenate([text.astype(np.int32), -1 - np.arange(most, dtype=np.int32)])
-    step = 16
-    while len(open_) and out.max(initial=0) < most:
-        at = out[1:][open_]
-        same = padded[np.minimum(a[open_] + at, len(text))[:, None] + np.arange(step)] == padded[np.minimum(b[open_] + at, len(text))[:, None] + np.arange(step)]
-        got = np.where(same.all(1), step, same.argmin(1))
-        out[1 + open_] += got
-        open_ = open_[(got == step) & (out[1 + open_] < most)]
-    return np.minimum(out, most)
+    out = np.zeros(len(a), np.int64)
+    for width, rank in reversed(ranks):
+        rank = np.concatenate([rank, np.zeros(1, np.int64)])
+        x, y = np.minimum(a + out, n), np.minimum(b + out, n)
+        out += np.where((rank[x] == rank[y]) & (x < n) & (y < n), width, 0)
+    padded = np.concatenate([text.astype(np.int64), [-1]])
+    open_ = np.ones(len(a), dtype=bool)
+    for _ in range(PACKED - 1):
+        x, y = np.minimum(a + out, n), np.minimum(b + out, n)
+        open_ &= (padded[x] == padded[y]) & (x < n) & (y < n)
+        out += open_
+    return np.concatenate([[0], out])
 
 
 def repeated_starts(stretch_bytes: list[bytes], starts: list[int], window: int) -> list[np.ndarray]:
@@ -180,8 +201,9 @@ def repeated_starts(stretch_bytes: list[bytes], starts: list[int], window: int)
     for base, raw, n in zip(bases.tolist(), stretch_bytes, starts):
         text[base : base + len(raw)] = np.frombuffer(raw, np.uint8).astype(np.int64) + 1
         valid[base : base + n] = True
-    array = two_stage_suffixes(text)
-    prefix = adjacent_prefixes(text, array, window)
+    ranks = prefix_ranks(text, window)
+    array = two_stage_suffixes(text, ranks[-1][1])
+    prefix = adjacent_prefixes(text, array, ranks)
     # suffixes between two breaks of the prefixes share a window; two valid starts among them are repeats
     group = np.cumsum(prefix < window)
     many = np.bincount(group, weights=valid[array]) > 1
@@ -191,10 +213,10 @@ def repeated_starts(stretch_bytes: list[bytes], starts: list[int], window: int)
     return [again[b : b + n] for b, n in zip(bases.tolist(), starts)]
 
 
-def _runs(flags: np.ndarray, window: int) -> list[dict[str, int]]:
-    """Byte ranges covered by the windows at flagged starts."""
+def _runs(flags: np.ndarray, window: int, base: int) -> list[dict[str, int]]:
+    """Byte ranges covered by the windows at flagged starts, the first of which is ``base``."""
     at = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return [{"a": int(a), "b": int(b) - 1 + window} for a, b in zip(at[::2], at[1::2])]
+    return [{"a": int(a) + base, "b": int(b) - 1 + window + base} for a, b in zip(at[::2], at[1::2])]
 
 
 RANGES = "array<struct<a:long,b:long>>"
@@ -235,43 +257,66 @@ def repeated_ranges(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
     texts = rows.join(_small_or_shuffled(wanted), "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        names = ["anchor", "content", "base", "n", "core", "bytes"]
         for part in slices(batches, "text", CHUNK):
             out = []
-            for text, own in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
+            for key, text, own in zip(*(part.column(c).to_pylist() for c in ("key", "text", "wanted"))):
+                if key in seen:
+                    continue
+                seen.add(key)
                 raw = text.encode()
                 for s in own:
                     b = raw[s["start"] : s["start"] + s["n"] - 1 + window]
-                    if s["crowded"]:
-                        out += [(s["anchor"], s["content"], i, int(h), None) for i, h in enumerate(gram_hashes(np.frombuffer(b, np.uint8), window).view(np.int64))]
-                    else:
-                        out.append((s["anchor"], s["content"], s["n"], None, b))
-            columns = zip(*out) if out else ([],) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(),) * 4 + (pa.binary(),))], ["anchor", "content", "n", "window", "bytes"])
-
-    pieces = checkpointed(texts.mapInArrow(cut, "anchor long, content long, n long, window long, bytes binary"))
+                    if not s["crowded"]:
+                        out.append((s["anchor"], s["content"], 0, s["n"], None, b))
+                        continue
+                    # starts are counted from the furthest that still holds the anchor, so that equal windows lie in pieces of one number
+                    grams = gram_hashes(np.frombuffer(b[:window], np.uint8), GRAM) & ~np.uint64(2 * CHUNK - 1)
+                    lead = window - GRAM - int(np.argmin(grams))
+                    for q in range(lead // PIECE, (lead + s["n"] - 1) // PIECE + 1):
+                        lo, hi = max(q * PIECE - lead, 0), min((q + 1) * PIECE - lead, s["n"])
+                        core = hashlib.blake2b(b[(q + 1) * PIECE - 1 - lead : q * PIECE + window - lead], digest_size=8, salt=str(q).encode()).digest()
+                        out.append((s["anchor"], s["content"], lo, hi - lo, int.from_bytes(core, "little", signed=True), b[lo : hi - 1 + window]))
+            columns = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*(pa.int64(),) * 5, pa.binary()))], names)
+
+    pieces = checkpointed(texts.mapInArrow(cut, "anchor long, content long, base long, n long, core long, bytes binary"))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(own: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            flags = repeated_starts([x[3] for x in own], [x[2] for x in own], window)
-            kept = [(x[0], x[1], r) for x, f in zip(own, flags) if (r := _runs(f, window))]
+        def settle(own: list[tuple]) -> pa.RecordBatch:
+            flags = repeated_starts([x[5] for x in own], [x[3] for x in own], window)
+            kept = [(x[0], x[1], r) for x, f in zip(own, flags) if (r := _runs(f, window, x[2]))]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), _RANGES))], ["anchor", "content", "ranges"])
 
-        waiting: list[tuple[int, int, int, bytes]] = []
+        waiting: list[tuple] = []
         size = 0
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "bytes"))):
-                if size > ARRAY_BYTES and x[0] != waiting[-1][0]:
+            for x in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "base", "n", "core", "bytes"))):
+                if waiting and x[:3] == waiting[-1][:3] and x[4] == waiting[-1][4]:
+                    continue  # cut by two tasks from copies of a text
+                if size > ARRAY_BYTES and (x[0], x[4]) != (waiting[-1][0], waiting[-1][4]):
                     yield settle(waiting)
                     waiting, size = [], 0
                 waiting.append(x)
-                size += len(x[3])
+                size += len(x[5])
         if waiting:
             yield settle(waiting)
 
-    # two tasks may have cut the same stretch from copies of a text
-    few = pieces.where("bytes is not null").groupBy("anchor", "content").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"))
-    few = few.repartition(shuffle_parts(rows), "anchor").sortWithinPartitions("anchor").mapInArrow(arrays, f"anchor long, content long, ranges {RANGES}")
-    each = pieces.where("bytes is null").select("anchor", "content", F.col("n").alias("i"), "window").distinct()
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(a, c, base, gram_hashes(np.frombuffer(b, np.uint8), window).view(np.int64)) for a, c, base, b in zip(*(batch.column(x).to_pylist() for x in ("anchor", "content", "base", "bytes")))]
+            counts = np.array([len(h) for *_, h in found], np.int64)
+            each = [pa.array(np.repeat(np.array([f[k] for f in found], np.int64), counts)) for k in (0, 1)]
+            at = np.concatenate([base + np.arange(len(h)) for _, _, base, h in found] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*each, pa.array(at), pa.array(np.concatenate([h for *_, h in found] or [np.zeros(0, np.int64)]))], ["anchor", "content", "i", "window"])
+
+    crowd = pieces.where("core is not null")
+    sizes = crowd.groupBy("anchor", "core").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    crowd = crowd.join(sizes, ["anchor", "core"]).select(*pieces.columns, "c")
+    few = pieces.where("core is null").unionByName(crowd.where(F.col("c") <= PIECES).drop("c"))
+    few = few.repartition(shuffle_parts(rows), "anchor", "core").sortWithinPartitions("anchor", "core", "content", "base").mapInArrow(arrays, f"anchor long, content long, ranges {RANGES}")
+    each = crowd.where(F.col("c") > PIECES).drop("c").mapInArrow(windows, "anchor long, content long, i long, window long").distinct()
     again = each.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "window")
     many = each.join(again, ["anchor", "window"], "left_semi").groupBy("anchor", "content")
     many = many.agg(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + window).alias("b"))).alias("ranges"))
