@@ -30,7 +30,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by chains of links (five-word shingles, Jaccard of at least 0.8), the one with the smallest doc_id stays."""
-    return jaccard.keep_one(docs, n=5, limit=jaccard.Threshold(80, 100))
+    return jaccard.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

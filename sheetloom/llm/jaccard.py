@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._util import WHITE, checkpointed, components, dense_slots, shuffle_parts, slices, text_buffers
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-COORDINATES = 64
+COORDINATES = 128
 #: Leaves up to this size give all their pairs; larger ones are searched block by block.
 SMALL_LEAF = 16
 #: Up to this many document ids are sent to every executor (8 bytes each); more are joined by a shuffle.
@@ -116,8 +116,17 @@ def leaf_keys(u: np.ndarray, limit: Threshold) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def count_vector(u: np.ndarray) -> np.ndarray:
-    return np.bincount((u & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.uint32)
+def count_vector(u: np.ndarray) -> bytes:
+    """Shingles per coordinate, in the smallest numbers that hold them."""
+    counts = np.bincount((u & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    """Count vectors as rows."""
+    if all(len(r) == COORDINATES for r in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, COORDINATES).astype(np.int32)
+    return np.array([np.frombuffer(r, np.uint8 if len(r) == COORDINATES else np.uint32) for r in raw], np.int32)
 
 
 def indexed_sets(df: DataFrame, n: int, limit: Threshold) -> DataFrame:
@@ -137,7 +146,7 @@ def indexed_sets(df: DataFrame, n: int, limit: Threshold) -> DataFrame:
                 else:
                     seen.add(fp)
                     keys.append(leaf_keys(u, limit).view(np.int64))
-                    vectors.append(count_vector(u).tobytes())
+                    vectors.append(count_vector(u))
             if len(seen) > 500_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
@@ -192,7 +201,7 @@ def _bounded(limit: Threshold):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("va", "vb"))
+            va, vb = (points_of(batch.column(c).to_pylist()) for c in ("va", "vb"))
             ok = limit.sizes_fit(na, nb) & limit.overlap_fits(np.minimum(va, vb).sum(1, dtype=np.int64), na, nb)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -218,18 +227,26 @@ class BoxTree:
 
 
 def _block_pairs(limit: Threshold):  # noqa: ANN202
-    def read(cell) -> tuple[np.ndarray, ...]:  # noqa: ANN001
-        return (*(np.array([m[x] for m in cell], np.int64) for x in ("fp", "root", "n")), np.frombuffer(b"".join(m["vec"] for m in cell), np.uint32).reshape(-1, COORDINATES))
+    """Pairs of a block of left members with a block of all members of one leaf, in different components and within the bounds.
+
+    Two left members meet in both directions, of which one counts. A pair that also
+    shares a leaf of a smaller key is left to that leaf; the members name their smallest.
+    """
+
+    def read(cell: pa.StructScalar) -> tuple:
+        v = cell.values
+        return (*(v.field(x).to_numpy() for x in ("fp", "root", "n")), v.field("minor").to_numpy(zero_copy_only=False), points_of(v.field("vec").to_pylist()), [set(k) for k in v.field("least").to_pylist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                (fa, ra, na, va), (fb, rb, nb, vb) = read(left), read(right)
+            for key, left, right in zip(batch.column("key").to_pylist(), batch.column("left"), batch.column("right")):
+                (fa, ra, na, _, va, ka), (fb, rb, nb, mb, vb, kb) = read(left), read(right)
                 tree = BoxTree(nb, vb)
                 for i in range(len(fa)):
                     hits = tree.search(int(na[i]), va[i], limit)
-                    found += [(int(fa[i]), int(fb[j])) for j in hits if ra[i] != rb[j]]
+                    hits = hits[(rb[hits] != ra[i]) & (~mb[hits] | (fb[hits] > fa[i]))]
+                    found += [(int(fa[i]), int(fb[j])) for j in hits if not any(k < key for k in ka[i] & kb[j])]
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -246,15 +263,20 @@ def _sets_of(df: DataFrame, n: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "fp long, set binary")
 
 
+def _bounded_pairs(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
+    """Distinct pairs of set hashes that sizes and coordinate minima leave."""
+    side = lambda x: reps.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(limit), "a long, b long")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
     """The pairs of set hashes that link, counted on the sets of one document each.
 
     Texts are read again for the documents named, so no set is stored; the ids of these
     documents are sent to all executors only after a check of their number.
     """
-    side = lambda x: reps.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(limit), "a long, b long"))
+    pairs = checkpointed(pairs)
     named = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     named = checkpointed(named.join(reps, "fp").select("fp", F.col("id").alias("_id")))
     ids = named.select("_id").distinct()
@@ -274,7 +296,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, limit:
     return checkpointed(both.mapInArrow(run, "a long, b long"))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, limit: Threshold | None = None) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, limit: Threshold | None = None) -> DataFrame:
     """Per row of ``df``: its id, n_shingles, and component_id, the smallest id reachable by links.
 
     Words are runs without ASCII white space, A-Z lowered; a text of fewer than n words
@@ -284,13 +306,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     components are checked too, all of them. Null ids never name a component
     unless it has no other. Extra columns are left out.
     """
-    limit = limit or Threshold(85, 100)
+    limit = limit or Threshold(80, 100)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = checkpointed(indexed_sets(rows, n, limit))
     reps = checkpointed(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec", ignorenulls=True).alias("vec")))
     leaves = sets.select(F.explode("keys").alias("key"), "fp").repartition(shuffle_parts(df), "key").sortWithinPartitions("key", "fp")
     found = checkpointed(leaves.mapInArrow(_leaf_pairs, "kind tinyint, a long, b long, key long").distinct())
-    links = _verified(found.where("kind = 0").select("a", "b"), reps, rows, n, limit)
+    links = _verified(_bounded_pairs(found.where("kind = 0").select("a", "b"), reps, limit), reps, rows, n, limit)
     roots = checkpointed(components(links))
 
     def rooted(x: DataFrame, c: str) -> DataFrame:
@@ -298,16 +320,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return x.join(near, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
 
     apart = rooted(rooted(found.where("kind = 1").select("a", "b"), "a"), "b").where("ra <> rb").select("a", "b")
+    apart = _bounded_pairs(apart, reps, limit)
     members = rooted(found.where("kind = 2").select("key", "a"), "a")
-    mixed = members.groupBy("key").agg(F.min("ra").alias("lo"), F.max("ra").alias("hi")).where("lo <> hi").select("key")
-    members = checkpointed(members.join(mixed, "key", "left_semi"))
+    # in a leaf of several components, pairs inside its largest need no look
+    sizes = members.groupBy("key", "ra").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max_by("ra", F.struct("c", "ra")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "top")
+    members = checkpointed(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top"))
     if members.head(1):
-        points = dense_slots(members, ["key"], ["a"], "slot").join(reps.select(F.col("fp").alias("a"), "n", "vec"), "a")
-        member = F.struct(F.col("a").alias("fp"), F.col("ra").alias("root"), "n", "vec")
-        blocks = checkpointed(points.groupBy("key", F.floor(F.col("slot") / 256).alias("block")).agg(F.collect_list(member).alias("members")))
-        left, right = (blocks.select("key", F.col("block").alias(f"b{s}"), F.col("members").alias(s)) for s in ("left", "right"))
-        crossed = left.join(right, "key").where("bleft <= bright").select("left", "right").mapInArrow(_block_pairs(limit), "a long, b long")
-        apart = apart.unionByName(crossed)
+        least = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("least"))  # at most a leaf per group of the set
+        point = reps.select(F.col("fp").alias("a"), "n", "vec").join(least, "a")
+        member = F.struct(F.col("a").alias("fp"), F.col("ra").alias("root"), "n", "minor", "vec", "least")
+
+        def blocks(of: DataFrame, name: str, size: int) -> DataFrame:
+            placed = dense_slots(of, ["key"], ["a"], "slot", spread=8).join(point, "a")
+            return placed.groupBy("key", F.floor(F.col("slot") / size).alias("block")).agg(F.collect_list(member).alias(name)).drop("block")
+
+        crossed = blocks(members.where("minor"), "left", 64).join(blocks(members, "right", 256), "key").mapInArrow(_block_pairs(limit), "a long, b long")
+        apart = apart.unionByName(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
     more = _verified(apart, reps, rows, n, limit)
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     final = components(edges).withColumnRenamed("node", "fp")

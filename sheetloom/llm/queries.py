@@ -19,7 +19,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=4, limit=jaccard.Threshold(85, 100))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
