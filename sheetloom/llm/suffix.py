@@ -349,8 +349,8 @@ def with_repeats(df: DataFrame, window: int, text_col: str = "text") -> DataFram
     """``df`` with _text (never null), _copied and _ranges; what each text loses is found from these alone."""
     rows = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_at", F.xxhash64("_text"))
     ranges, copies = repeated_ranges(rows.select(F.col("_at").alias("key"), F.col("_text").alias("text")), window)
-    losses = checkpointed(ranges.join(copies, "key", "full").select("key", F.col("copies").isNotNull().alias("_copied"), F.when(F.col("copies").isNull(), F.col("ranges")).alias("_ranges")))
-    return rows.join(losses, F.col("_at") == F.col("key"), "left").drop("key", "_at")
+    losses = checkpointed(ranges.join(copies, "key", "full").select(F.col("key").alias("_hash"), F.col("copies").isNotNull().alias("_copied"), F.when(F.col("copies").isNull(), F.col("ranges")).alias("_ranges")))
+    return rows.join(losses, F.col("_at") == F.col("_hash"), "left").drop("_hash", "_at")
 
 
 def dedup_report(df: DataFrame, window: int = 400) -> DataFrame:
