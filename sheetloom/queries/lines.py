@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bounds, clean, fit, points
+from ..plans import cut
 from ..sources import manifests
 from .fixture import view
 from .sql import CROPS, FITS, ORIENTED, POINTS, ROTATIONS, UNIQUE, ask
@@ -136,7 +137,7 @@ NAMED_PARTS = (ORIENTED, UNIQUE, CROPS, _CLIPPED, NAMED)
 
 
 def named_lines(s: SparkSession, d: str) -> DataFrame:
-    return clean.keep_monotone_names(clean.split_by_axis(clean.shift_and_clip_to_crop(cleaned(s, d), crops(s, d))))
+    return cut(clean.keep_monotone_names(clean.split_by_axis(clean.shift_and_clip_to_crop(cleaned(s, d), crops(s, d)))))
 
 
 @query(ask("SELECT set_id, page_idx, axis, text, l, n, d, name_idx, coord, name_rank FROM named", *NAMED_PARTS))

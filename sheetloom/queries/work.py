@@ -127,15 +127,14 @@ def o6_relative_placement(s: SparkSession, d: str) -> DataFrame:
     return rows.select("set_id", "i", "j", ordering.relative_placement(F.col("axis_code")).alias("placement"))
 
 
-def _acceptable(p: str) -> str:
-    """p where the pages are near enough or share a line, else null."""
-    part = lambda axis, dim, low: f"""(SELECT st.step >= 0 AND (CASE WHEN {p} = {low} THEN CASE WHEN {axis.lower()}_reversed THEN a.cn ELSE a.c0 END ELSE CASE WHEN {axis.lower()}_reversed THEN a.c0 ELSE a.cn END END)
-  + {dim} - (CASE WHEN {p} = {low} THEN CASE WHEN {axis.lower()}_reversed THEN b.c0 ELSE b.cn END ELSE CASE WHEN {axis.lower()}_reversed THEN b.cn ELSE b.c0 END END)
-  >= TRUNC(ABS(na1.idx - nb1.idx) * st.step)
-  FROM ex a, ex b, ms st, ni na1, ni nb1 WHERE a.set_id = w.set_id AND a.page_idx = w.i AND a.axis = '{axis}' AND b.set_id = w.set_id AND b.page_idx = w.j AND b.axis = '{axis}' AND st.set_id = w.set_id AND st.axis = '{axis}'
-  AND na1.set_id = w.set_id AND na1.axis = '{axis}' AND ROW(na1.l, na1.n, na1.d) = CASE WHEN ({p} = {low}) <> {axis.lower()}_reversed THEN a.lo ELSE a.hi END
-  AND nb1.set_id = w.set_id AND nb1.axis = '{axis}' AND ROW(nb1.l, nb1.n, nb1.d) = CASE WHEN ({p} = {low}) <> {axis.lower()}_reversed THEN b.hi ELSE b.lo END)"""
-    return f"CASE WHEN {p} = 0 THEN 0 WHEN {p} IN (3, 4) AND (h_intersect > 0 OR {part('H', 'ph', 3)}) THEN {p} WHEN {p} IN (1, 2) AND (v_intersect > 0 OR {part('V', 'pw', 1)}) THEN {p} END"
+def _acceptable(n: int) -> str:
+    """The placement p{n} of w where the pages are near enough or share a line of its axis."""
+    return f"""q{n} AS (SELECT set_id, i, j, p{n} AS p, CASE WHEN p{n} IN (3, 4) THEN 'H' WHEN p{n} IN (1, 2) THEN 'V' END AS ax, (p{n} IN (1, 3)) <> CASE WHEN p{n} IN (3, 4) THEN h_reversed ELSE v_reversed END AS lo1,
+  CASE WHEN p{n} IN (3, 4) THEN h_intersect ELSE v_intersect END AS shared, CASE WHEN p{n} IN (3, 4) THEN ph ELSE pw END AS dim FROM w WHERE p{n} IS NOT NULL),
+e{n} AS (SELECT q.*, st.step, CASE WHEN lo1 THEN a.lo ELSE a.hi END AS n1, CASE WHEN lo1 THEN a.c0 ELSE a.cn END AS c1, CASE WHEN lo1 THEN b.hi ELSE b.lo END AS n2, CASE WHEN lo1 THEN b.cn ELSE b.c0 END AS c2
+  FROM q{n} q LEFT JOIN ex a ON a.set_id = q.set_id AND a.page_idx = q.i AND a.axis = q.ax LEFT JOIN ex b ON b.set_id = q.set_id AND b.page_idx = q.j AND b.axis = q.ax LEFT JOIN ms st ON st.set_id = q.set_id AND st.axis = q.ax),
+r{n} AS (SELECT e.set_id, e.i, e.j, CAST(p AS INT) AS p FROM e{n} e LEFT JOIN nr x ON x.set_id = e.set_id AND x.axis = e.ax AND x.name = e.n1 LEFT JOIN nr y ON y.set_id = e.set_id AND y.axis = e.ax AND y.name = e.n2
+  WHERE p = 0 OR shared > 0 OR (step >= 0 AND c1 + dim - c2 >= TRUNC(ABS(x.idx - y.idx) * step)))"""
 
 
 _PLACED = (
@@ -145,8 +144,10 @@ _PLACED = (
     _INDEX,
     _STEP,
     f"""w AS (SELECT pu.*, {_side('axis_code')} AS p1, CASE WHEN use_secondary THEN {_side('1 - axis_code')} END AS p2, cx1 - cx0 AS pw, cy1 - cy0 AS ph FROM pu JOIN crops c ON c.set_id = pu.set_id AND c.page_idx = pu.j),
-rp0 AS (SELECT set_id, i, j, CAST({_acceptable('p1')} AS INT) AS "primary", CAST({_acceptable('p2')} AS INT) AS secondary FROM w),
-rp AS (SELECT * FROM rp0 WHERE "primary" IS NOT NULL OR secondary IS NOT NULL)""",
+nr AS (SELECT set_id, axis, ROW(l, n, d) AS name, idx FROM ni)""",
+    _acceptable(1),
+    _acceptable(2),
+    """rp AS (SELECT set_id, i, j, r1.p AS "primary", r2.p AS secondary FROM r1 FULL JOIN r2 USING (set_id, i, j))""",
 )
 
 
