@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anchor, bounds, clean, fit, match, ordering, points, raster
+from ..plans import anchored, keypoints
 from .fixture import FIXTURE, view
 from .lines import NAMED_PARTS, WIDTHS, crops, named_lines, oriented, shared_points
 from .sql import CROPS, FITS, ORIENTED, POINTS, UNIQUE, ask
@@ -157,10 +158,17 @@ def _placed(s: SparkSession, d: str) -> DataFrame:
 
 @query(ask("SELECT * FROM rp", *_PLACED))
 def o8_pages_relative_placement(s: SparkSession, d: str) -> DataFrame:
-    """Also the check of o7_acceptable_placement, which it applies to both placements."""
     return _placed(s, d)
 
 
+@query(ask("SELECT w.set_id, w.i, w.j, r1.p AS placement FROM w LEFT JOIN r1 USING (set_id, i, j)", *_PLACED))
+def o7_acceptable_placement(s: SparkSession, d: str) -> DataFrame:
+    """Sides of page j next to page i, null where the pages lie too far apart."""
+    named = named_lines(s, d)
+    rows = ordering.placement_axis(ordering.pair_order_stats(named)).withColumn("placement", ordering.relative_placement(F.col("axis_code")))
+    return ordering.acceptable_placement(rows, named, crops(s, d), "placement").select("set_id", "i", "j", F.col("placement").cast("int").alias("placement"))
+
+
 _FACING = "CASE {0} WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 3 ELSE 0 END"
 _ALLOWED = f"""sd AS (SELECT set_id, i, j, "primary" AS a FROM rp WHERE "primary" IS NOT NULL UNION ALL SELECT set_id, i, j, secondary FROM rp WHERE secondary IS NOT NULL),
 al AS (SELECT set_id, i, j, a AS stripe_i, {_FACING.format('a')} AS stripe_j FROM sd UNION SELECT set_id, j, i, {_FACING.format('a')}, a FROM sd)"""
@@ -457,8 +465,20 @@ def a8_disjoint_anchor_pairs(s: SparkSession, d: str) -> DataFrame:
 @query(None)
 def w3_anchor_to_overall(s: SparkSession, d: str) -> DataFrame:
     """Every sheet's rectangle on its set's scaled overall plan."""
-    sizes = view(s, d, "pages").select("set_id", "page_idx", F.col("width").alias("w"), F.col("height").alias("h"))
-    return anchor.page_rect_vote(anchor.disjoint_anchor_pairs(_usable(s, d)), sizes)
+    overall = view(s, d, "overall_lines").withColumn("line_ord", F.lit(0))
+    return anchored.anchor_sheets(view(s, d, "pages"), view(s, d, "grid_lines"), overall, _plan_pages(s, d))[0]
+
+
+@query(None)
+def w2_place_with_keypoints(s: SparkSession, d: str) -> DataFrame:
+    """Every sheet on its canvas, where the second page of every set with keypoints has no grid lines."""
+    descriptors = view(s, d, "descriptors")
+    known = descriptors.select("set_id").distinct().withColumn("page_idx", F.lit(1))
+    lines = view(s, d, "grid_lines").join(known, ["set_id", "page_idx"], "left_anti")
+    pairs = match.page_pair_candidates(view(s, d, "pages"), _placed(s, d), lines)
+    compared = match.stripe_pair_candidates(pairs, ordering.stripes_for_placement(_placed(s, d))[1])
+    placed, canvases = keypoints.place_sheets(view(s, d, "pages"), lines, view(s, d, "segments"), descriptors, compared)
+    return placed.join(canvases, "set_id").select("set_id", "page_idx", "rx0", "ry0", "rx1", "ry1", "canvas_w", "canvas_h")
 
 
 @query(

@@ -4,18 +4,19 @@ import os
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from sheetloom.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["s2_validate_suffix", "c1_orient_grid_lines", "c7_shift_and_clip_to_crop", "c9_keep_monotone_names", "b5_grid_crop_area", "b7_stripe_widths", "g13_line_intersection", "j3_pair_grid_transforms", "j6_knn_ratio_match", "t2_fit_robust", "t9_best_pair_transform", "p2_spanning_forest", "p8_overlap_regions", "r2_mask_text", "o2_pair_order_stats", "a1_rotate_grids", "a4_select_scale"]
+SOME = ["s2_validate_suffix", "c1_orient_grid_lines", "c7_shift_and_clip_to_crop", "c9_keep_monotone_names", "b5_grid_crop_area", "b7_stripe_widths", "g13_line_intersection", "j3_pair_grid_transforms", "j6_knn_ratio_match", "t2_fit_robust", "t9_best_pair_transform", "p2_spanning_forest", "p8_overlap_regions", "r2_mask_text", "o2_pair_order_stats", "o7_acceptable_placement", "a1_rotate_grids", "a4_select_scale"]
 
 
 def rows(frame):
     names = sorted(frame.columns)
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v
+    clean = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else v
     return names, sorted((tuple(clean(v) for v in r) for r in frame[names].itertuples(index=False)), key=str)
 
 
