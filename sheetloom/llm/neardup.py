@@ -1,9 +1,10 @@
 """Near-duplicate vectors by NN-descent.
 
 A neighbour graph is seeded by random-projection leaves and refined by joining the
-neighbours of neighbours. Vectors whose lists are full of links have their lists
-enlarged to their whole component, and a sample of queries is compared with all rows to
-audit the recall; a poor audit adds seeds and refines again.
+neighbours of neighbours. Every link met on the way joins components, whatever the lists
+hold. Vectors whose lists are full of links have their lists enlarged to their whole
+component, and go on looking for as many neighbours outside it. A sample of queries is
+compared with all rows to audit the recall; a poor audit adds seeds and refines again.
 """
 
 from __future__ import annotations
@@ -47,26 +48,56 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, dim int, vec binary")
 
 
-def _top(node: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k most similar others of each node."""
-    order = np.lexsort((-sim, node))
-    node, other, sim = node[order], other[order], sim[order]
-    place = np.arange(len(node)) - np.searchsorted(node, node)
+def _top(node: np.ndarray, other: np.ndarray, sim: np.ndarray, inside: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k most similar different others of each node inside its component, and as many outside."""
+    order = np.lexsort((-sim, other, node))
+    node, other, sim, inside = (x[order] for x in (node, other, sim, inside))
+    fresh = np.concatenate([[True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])])[: len(node)]
+    node, other, sim, inside = (x[fresh] for x in (node, other, sim, inside))
+    order = np.lexsort((-sim, inside, node))
+    node, other, sim, inside = (x[order] for x in (node, other, sim, inside))
+    first = np.concatenate([[True], (node[1:] != node[:-1]) | (inside[1:] != inside[:-1])])[: len(node)]
+    place = np.arange(len(node)) - np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))
     return tuple(x[place < k] for x in (node, other, sim))
 
 
-_EDGE = "node long, other long, sim double"
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a symmetric matrix of links: links (i, j) that connect all that its links connect, and a label of each row's component."""
+    label = np.arange(len(hit))
+    left = hit.any(1)
+    a, b = [], []
+    while left.any():
+        first = int(np.argmax(left))
+        left[first] = False
+        todo = [first]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(hit[i] & left)
+            if len(new):
+                left[new] = False
+                label[new] = first
+                a.append(np.full(len(new), i))
+                b.append(new)
+                todo += new.tolist()
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b), label) if a else (none, none, label)
 
 
-def _edges(node, other, sim) -> pa.RecordBatch:  # noqa: ANN001
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x)) for x in (node, other, sim)], ["node", "other", "sim"])
+#: `joins` marks links that join components; the other rows are candidates for the lists.
+_EDGE = "node long, other long, sim double, joins boolean"
 
 
-def seed_edges(points: DataFrame, k: int, trees: int, rows: int, first: int, leaf: int = 256) -> DataFrame:
+def _edges(node, other, sim, joins: bool = False) -> pa.RecordBatch:  # noqa: ANN001
+    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x)) for x in (node, other, sim)), pa.array(np.full(len(node), joins))], ["node", "other", "sim", "joins"])
+
+
+def seed_edges(points: DataFrame, k: int, trees: int, rows: int, first: int, least: float, leaf: int = 256) -> DataFrame:
     """Neighbours inside the leaves of random-projection trees.
 
     A leaf is named by the signs of ``log2(rows / leaf)`` projections; leaves that come
     out larger are cut by a further projection's order into blocks of BLOCK vectors.
+    All links of a block count for the components; of candidates, each vector gets k from
+    its component, as far as ``root`` and the block tell it, and k from others.
     """
     depth = max(0, int(np.ceil(np.log2(max(1, rows) / leaf))))
 
@@ -81,58 +112,89 @@ def seed_edges(points: DataFrame, k: int, trees: int, rows: int, first: int, lea
                     y = x @ planes
                     code = (y[:, :depth] > 0) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(x), np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), t, np.int32)), own.column("dim"), pa.array(code.astype(np.int64)), pa.array(y[:, -1]), own.column("node"), own.column("vec")],
-                        ["tree", "dim", "code", "along", "node", "vec"],
+                        [pa.array(np.full(len(x), t, np.int32)), own.column("dim"), pa.array(code.astype(np.int64)), pa.array(y[:, -1]), own.column("node"), own.column("root"), own.column("vec")],
+                        ["tree", "dim", "code", "along", "node", "root", "vec"],
                     )
 
-    named = checkpointed(points.mapInArrow(name, "tree int, dim int, code long, along double, node long, vec binary"))
+    named = checkpointed(points.mapInArrow(name, "tree int, dim int, code long, along double, node long, root long, vec binary"))
     # numbered by a hash inside the leaf, so that a crowded one is dealt over blocks; `along` sorts what fits in one
     placed = dense_slots(named, ["tree", "dim", "code"], ["along", "node"], "slot", spread=8)
-    blocks = placed.groupBy("tree", "dim", "code", F.floor(F.col("slot") / BLOCK).alias("block")).agg(F.collect_list(F.struct("node", "vec")).alias("points"))
+    blocks = placed.groupBy("tree", "dim", "code", F.floor(F.col("slot") / BLOCK).alias("block")).agg(F.collect_list(F.struct("node", "root", "vec")).alias("points"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for points_ in batch.column("points"):
-                ids = points_.values.field("node").to_numpy()
+                ids, root = (points_.values.field(c).to_numpy() for c in ("node", "root"))
                 x = _unit(points_.values.field("vec").to_pylist())
                 sim = x @ x.T
                 np.fill_diagonal(sim, -2)
+                i, j, label = _forest(sim >= least)
+                yield _edges(ids[i], ids[j], sim[i, j], True)
+                inside = (root[:, None] == root) | (label[:, None] == label)
                 m = min(k, len(ids) - 1)
-                if m:
-                    best = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-                    yield _edges(np.repeat(ids, m), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel())
+                for part in (inside, ~inside) if m else ():
+                    own = np.where(part, sim, -2)
+                    best = np.argpartition(-own, m - 1, axis=1)[:, :m]
+                    score = np.take_along_axis(own, best, 1)
+                    found = score > -2
+                    yield _edges(np.repeat(ids, found.sum(1)), ids[best[found]], score[found])
 
     return blocks.select("points").mapInArrow(join, _EDGE)
 
 
-def best_edges(edges: DataFrame, k: int) -> DataFrame:
-    """The k most similar different others of each node."""
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "other"))
-    return edges.groupBy("node", "other").agg(F.max("sim").alias("sim")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+def best_edges(edges: DataFrame, k: int, roots: DataFrame) -> DataFrame:
+    """(node, other, sim, inside): the k most similar different others of each node inside its component, and as many outside."""
+    best = edges.groupBy("node", "other").agg(F.max("sim").alias("sim"))
+    best = best.join(roots, "node", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("_o")), "other", "left")
+    best = best.select("node", "other", "sim", F.coalesce(F.col("root") == F.col("_o"), F.lit(False)).alias("inside"))
+    rank = F.row_number().over(Window.partitionBy("node", "inside").orderBy(F.desc("sim"), "other"))
+    return best.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the components after further links, for every node that links."""
+    links = links.select(F.col("node").alias("a"), F.col("other").alias("b"))
+    if roots is not None:
+        links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = checkpointed(components(links))
+    return checkpointed(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))  # a root is no node there
 
 
-def refine(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """Edges between the neighbours of each node that would enter a neighbour's list."""
-    back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim")
-    near = best_edges(graph.unionByName(back), 2 * k).select("node", "other")
-    worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
-    known = points.select("node", "vec").join(worst, "node", "left").select(F.col("node").alias("other"), "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    local = near.join(known, "other").groupBy("node").agg(F.collect_list(F.struct(F.col("other").alias("node"), "vec", "worst")).alias("points"))
+def rooted(points: DataFrame, roots: DataFrame) -> DataFrame:
+    return points.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def refine(graph: DataFrame, points: DataFrame, k: int, least: float) -> DataFrame:
+    """Edges between the neighbours of each node that would enter a neighbour's list, and links that join components.
+
+    ``points`` has the components as ``root``, which ``graph`` was made with.
+    """
+    back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim", "inside")
+    rank = F.row_number().over(Window.partitionBy("node", "inside").orderBy(F.desc("sim"), "other"))
+    near = graph.unionByName(back).groupBy("node", "other", "inside").agg(F.max("sim").alias("sim")).withColumn("_r", rank).where(F.col("_r") <= 2 * k).select("node", "other")
+    part = lambda inside: F.col("inside") if inside else ~F.col("inside")
+    worst = graph.groupBy("node").agg(*[F.when(F.count_if(part(x)) >= k, F.min(F.when(part(x), F.col("sim")))).otherwise(F.lit(-2.0)).alias(c) for c, x in (("worst", False), ("worst_in", True))])
+    known = points.select("node", "root", "vec").join(worst, "node", "left").select(F.col("node").alias("other"), "root", "vec", *[F.coalesce(c, F.lit(-2.0)).alias(c) for c in ("worst", "worst_in")])
+    local = near.join(known, "other").groupBy("node").agg(F.collect_list(F.struct(F.col("other").alias("node"), "root", "vec", "worst", "worst_in")).alias("points"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, links = [], []
             for points_ in batch.column("points"):
-                ids, worst_ = points_.values.field("node").to_numpy(), points_.values.field("worst").to_numpy()
+                ids, root, worst_, worst_in = (points_.values.field(c).to_numpy() for c in ("node", "root", "worst", "worst_in"))
                 raw = points_.values.field("vec").to_pylist()
                 if len({len(r) for r in raw}) == 1:
                     x = _unit(raw)
                     sim = x @ x.T
                     np.fill_diagonal(sim, -3)
-                    i, j = np.nonzero(sim > worst_[:, None])
-                    found.append((ids[i], ids[j], sim[i, j]))
+                    inside = root[:, None] == root
+                    i, j = np.nonzero(sim > np.where(inside, worst_in[:, None], worst_[:, None]))
+                    found.append((ids[i], ids[j], sim[i, j], inside[i, j]))
+                    i, j, _ = _forest((sim >= least) & ~inside)
+                    links.append((ids[i], ids[j], sim[i, j]))
             if found:
                 yield _edges(*_top(*(np.concatenate(c) for c in zip(*found)), k))
+                yield _edges(*(np.concatenate(c) for c in zip(*links)), True)
 
     return local.select("points").mapInArrow(join, _EDGE)
 
@@ -178,17 +240,15 @@ def audit(points: DataFrame, found: DataFrame, least: float, queries: int = AUDI
     return 1.0 if not row["t"] else row["f"] / row["t"]
 
 
-def link_counts(points: DataFrame, graph: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(node, n_links to other vectors) and (node, root): exact inside every component of the graph's links."""
-    links = graph.where(F.col("sim") >= least).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    roots = checkpointed(components(links))
+def link_counts(points: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(node, n_links to other vectors): exact inside every component of ``roots`` (node, root)."""
     members = checkpointed(roots.join(points, "node").select("root", "node", "vec", "copies"))
     placed = dense_slots(members, ["root"], ["node"], "slot", spread=8)
     blocks = placed.groupBy("root", F.floor(F.col("slot") / BLOCK).alias("block")).agg(F.collect_list(F.struct("node", "vec", "copies")).alias("points"))
     blocks = checkpointed(blocks)
     both = blocks.select("root", F.col("points").alias("left")).join(blocks.select("root", F.col("points").alias("right")), "root")
     counts = both.select("left", "right").mapInArrow(_linked_blocks(least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
-    return checkpointed(counts), roots
+    return checkpointed(counts)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, k: int = 10, trees: int = 4, rounds: int = 4, recall: float = 0.97) -> DataFrame:
@@ -196,7 +256,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing; vectors of different lengths never link. Equal directions are one point
-    with copies. The graph decides which components are found; inside a component every
+    with copies. Every link met joins components, however full the lists are; inside a component every
     pair is compared in double precision, block by block, so lists that links fill
     up are enlarged without a limit and counts there are exact. ``component_id``
     is the smallest id; rows that repeat an id are rows of their own. Null ids never
@@ -207,18 +267,25 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     node = F.xxhash64("vec").alias("node")
     points = checkpointed(usable.groupBy("vec").agg(F.first("dim").alias("dim"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id")).select(node, "dim", "vec", "copies", "least_id"))
     n = points.count()
-    graph = checkpointed(best_edges(seed_edges(points, k, trees, n, 0), k))
+    found = checkpointed(seed_edges(points.withColumn("root", F.col("node")), k, trees, n, 0, least))
+    roots = merged(None, found.where("joins"))
+    graph = checkpointed(best_edges(found.where("not joins"), k, roots))
     for attempt in range(4):
         for _ in range(rounds if attempt == 0 else 2):
-            better = checkpointed(best_edges(graph.unionByName(refine(graph, points, k)), k))
+            found = checkpointed(refine(graph, rooted(points, roots), k, least))
+            joined = bool(found.where("joins").head(1))
+            roots = merged(roots, found.where("joins")) if joined else roots
+            better = checkpointed(best_edges(graph.select("node", "other", "sim").unionByName(found.where("not joins").drop("joins")), k, roots))
             changed = better.join(graph, ["node", "other"], "left_anti").count()
             graph = better
-            if changed <= 0.002 * n * k:
+            if changed <= 0.002 * n * k and not joined:
                 break
-        counts, roots = link_counts(points, graph, least)
+        counts = link_counts(points, roots, least)
         if n <= 1 or audit(points, counts, least) >= recall:
             break
-        graph = checkpointed(best_edges(graph.unionByName(seed_edges(points, k, trees, n, trees * (attempt + 1))), k))
+        found = checkpointed(seed_edges(rooted(points, roots), k, trees, n, trees * (attempt + 1), least))
+        roots = merged(roots, found.where("joins"))
+        graph = checkpointed(best_edges(graph.select("node", "other", "sim").unionByName(found.where("not joins").drop("joins")), k, roots))
     named = points.select("node", "copies", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
     smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(smallest, "root").select(F.col("node").alias("_node"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")

@@ -251,3 +251,18 @@ def test_toxicity_learns_and_handles_empty_texts(spark, empty):
     assert ((score[:200] >= 0.5) == (y[500:] == 1)).mean() > 0.9 and ((score >= 0) & (score <= 1)).all()
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(empty, none).count() == 0
+
+
+def test_bundles_of_one_wide_group_stay_together(spark):
+    rng = np.random.default_rng(5)
+    spread = lambda x, by: x + rng.normal(size=x.shape) * by / np.sqrt(x.shape[-1])
+    centres = spread(np.repeat(rng.normal(size=(1, 64)), 100, 0), 0.17)
+    x = np.concatenate([spread(np.repeat(centres, 15, 0), 0.002), rng.normal(size=(20, 64))])
+    x = np.concatenate([x, spread(x[-1:], 0.01)])  # the last two are a pair
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T
+    true = (near >= 0.95).sum(1) - 1
+    assert (true[:1500] == 1499).all() and (true[1500:] == [0] * 19 + [1, 1]).all()
+    found = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    assert [found[i].n_links for i in range(len(x))] == true.tolist()
+    assert all(found[i].component_id == 0 for i in range(1500)) and found[1520].component_id == 1519
