@@ -44,8 +44,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in sequences; a text that lost all its bytes has nothing to pack."""
-    return packing.pack_documents(docs.where(F.coalesce(F.length("text"), F.lit(0)) > 0), public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of at most 1024 tokens and their places in sequences; a null or empty text is one token, its end."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
