@@ -4,7 +4,8 @@ A neighbour graph is seeded by random-projection leaves and refined by joining t
 neighbours of neighbours. Every link met on the way joins components, whatever the lists
 hold. Vectors whose lists are full of links have their lists enlarged to their whole
 component, and go on looking for as many neighbours outside it. A sample of queries is
-compared with all rows to audit the recall; a poor audit adds seeds and refines again.
+compared with all rows to audit the recall query by query; a poor audit adds deeper rounds
+of seeds and refines again, and if it stays poor all pairs of vectors are compared.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import checkpointed, components, dense_slots
+from ._util import checkpointed, components, dense_slots, shuffle_parts
 
 BLOCK = 512
 #: Queries of the audit: at most this many vectors are sent to every executor.
@@ -217,8 +218,46 @@ def _linked_blocks(least: float):  # noqa: ANN202
     return run
 
 
-def audit(points: DataFrame, found: DataFrame, least: float, queries: int = AUDIT) -> float:
-    """Share of the links of a bounded sample of vectors, found by comparing it with all rows, that ``found`` (node, n_links) has."""
+def exact_links(points: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(node, n_links to other vectors) and (node, root) by comparing all pairs of vectors of one length, block by block.
+
+    Blocks meet in a grid of about as many cells as there are shuffle partitions, so that no
+    key holds more than its share of the block pairs.
+    """
+    grid = int(np.ceil(np.sqrt(shuffle_parts(points))))
+    placed = dense_slots(points.select("dim", "node", "vec", "copies"), ["dim"], ["node"], "slot", spread=64)
+    block = F.floor(F.col("slot") / BLOCK).alias("block")
+    blocks = checkpointed(placed.groupBy("dim", block).agg(F.collect_list(F.struct("node", "vec", "copies")).alias("points")))
+    cell, others = F.col("block") % grid, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long")))
+    left = blocks.select("dim", cell.alias("r"), others.alias("c"), F.col("points").alias("left"))
+    right = blocks.select("dim", others.alias("r"), cell.alias("c"), F.col("points").alias("right"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("left"), batch.column("right")):
+                ids, other = (x.values.field("node").to_numpy() for x in (a, b))
+                hit = _unit(a.values.field("vec").to_pylist()) @ _unit(b.values.field("vec").to_pylist()).T >= least
+                hit &= ids[:, None] != other
+                n = len(ids)
+                both = np.zeros((n + len(other),) * 2, bool)
+                both[:n, n:], both[n:, :n] = hit, hit.T
+                i, j, _ = _forest(both)
+                name = np.concatenate([ids, other])
+                some = np.flatnonzero(hit.any(1))
+                count = hit[some] @ b.values.field("copies").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([ids[some], name[i]]), np.concatenate([np.zeros(len(some), np.int64), name[j]]), np.concatenate([count, np.zeros(len(i), np.int64)]))], ["node", "other", "n"])
+
+    found = checkpointed(left.join(right, ["dim", "r", "c"]).select("left", "right").mapInArrow(run, "node long, other long, n long"))
+    counts = checkpointed(found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n_links")))
+    return counts, merged(None, found.where("n = 0"))
+
+
+def audit(points: DataFrame, found: DataFrame, least: float, few: int = 10, queries: int = AUDIT) -> float:
+    """The recall of ``found`` (node, n_links), measured by comparing a bounded sample of vectors with all rows.
+
+    It is the mean over the sampled vectors that have links, each counting once however many
+    it has, or that over the vectors with at most ``few`` links, if it is worse.
+    """
     sample = points.orderBy(F.xxhash64("node")).select("node", "vec").limit(queries).collect()  # bounded by `queries`
     ids = np.array([r["node"] for r in sample], np.int64)
     raw = [bytes(r["vec"]) for r in sample]
@@ -236,8 +275,9 @@ def audit(points: DataFrame, found: DataFrame, least: float, queries: int = AUDI
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "true"])
 
     true = points.mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = true.join(found, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.col("true"), F.coalesce("n_links", F.lit(0)))).alias("f")).first()
-    return 1.0 if not row["t"] else row["f"] / row["t"]
+    share = F.least(F.col("true"), F.coalesce("n_links", F.lit(0))) / F.col("true")
+    row = true.where(F.col("true") > 0).join(found, "node", "left").agg(F.avg(share).alias("all"), F.avg(F.when(F.col("true") <= few, share)).alias("few")).first()
+    return min((x for x in (row["all"], row["few"]) if x is not None), default=1.0)
 
 
 def link_counts(points: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -267,10 +307,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     node = F.xxhash64("vec").alias("node")
     points = checkpointed(usable.groupBy("vec").agg(F.first("dim").alias("dim"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id")).select(node, "dim", "vec", "copies", "least_id"))
     n = points.count()
-    found = checkpointed(seed_edges(points.withColumn("root", F.col("node")), k, trees, n, 0, least))
-    roots = merged(None, found.where("joins"))
-    graph = checkpointed(best_edges(found.where("not joins"), k, roots))
+    roots, graph, seeds = None, None, 0
     for attempt in range(4):
+        more = trees << attempt  # as many again as were built so far, and more
+        start = points.withColumn("root", F.col("node")) if roots is None else rooted(points, roots)
+        found = checkpointed(seed_edges(start, k, more, n, seeds, least))
+        seeds += more
+        roots = merged(roots, found.where("joins"))
+        candidates = found.where("not joins").drop("joins")
+        graph = checkpointed(best_edges(candidates if graph is None else graph.select("node", "other", "sim").unionByName(candidates), k, roots))
         for _ in range(rounds if attempt == 0 else 2):
             found = checkpointed(refine(graph, rooted(points, roots), k, least))
             joined = bool(found.where("joins").head(1))
@@ -281,11 +326,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             if changed <= 0.002 * n * k and not joined:
                 break
         counts = link_counts(points, roots, least)
-        if n <= 1 or audit(points, counts, least) >= recall:
+        if n <= 1 or audit(points, counts, least, k) >= recall:
             break
-        found = checkpointed(seed_edges(rooted(points, roots), k, trees, n, trees * (attempt + 1), least))
-        roots = merged(roots, found.where("joins"))
-        graph = checkpointed(best_edges(graph.select("node", "other", "sim").unionByName(found.where("not joins").drop("joins")), k, roots))
+    else:
+        counts, roots = exact_links(points, least)
     named = points.select("node", "copies", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
     smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(smallest, "root").select(F.col("node").alias("_node"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")

@@ -266,3 +266,21 @@ def test_bundles_of_one_wide_group_stay_together(spark):
     found = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
     assert [found[i].n_links for i in range(len(x))] == true.tolist()
     assert all(found[i].component_id == 0 for i in range(1500)) and found[1520].component_id == 1519
+
+
+def test_audit_counts_queries_alike_and_a_failing_one_ends_in_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 32))
+    x[:400] = x[0] + rng.normal(size=(400, 32)) * 0.05  # one hot group
+    x[401:700:2] = x[400:700:2] + rng.normal(size=(150, 32)) * 0.1  # and pairs
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.95).sum(1) - 1
+    points = neardup.unit_vectors(table, "vec_id", "embedding").select(F.col("id").alias("node"), "dim", "vec", F.lit(1).cast("long").alias("copies"))
+    hot = spark.createDataFrame([(i, int(n)) for i, n in enumerate(true) if n > 10], "node long, n_links long")
+    assert neardup.audit(points, hot, 0.95) == 0  # no pair is found
+    assert neardup.audit(points, spark.createDataFrame(list(enumerate(true.tolist())), "node long, n_links long"), 0.95) == 1
+    monkeypatch.setattr(neardup, "seed_edges", lambda points, *_: points.sparkSession.createDataFrame([], neardup._EDGE))  # seeds that find nothing
+    found = {r.vec_id: r for r in neardup.near_duplicates(table).collect()}
+    assert [found[i].n_links for i in range(1200)] == true.tolist()
+    assert all(found[i].component_id == 0 for i in range(400)) and all(found[i + 1].component_id == i for i in range(400, 700, 2) if true[i])
