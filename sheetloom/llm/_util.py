@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WHITE = np.zeros(256, dtype=bool)
@@ -16,14 +17,36 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder that the cluster names.
+    """Cut the lineage through the checkpoint folder that the cluster names."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
 
-    A local folder is set only where no folder is configured, as in tests.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, set from spark.checkpoint.dir.
+
+    Only where all tasks run in the driver, as in tests, a local folder stands in for one
+    that is not configured; a cluster without it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, made different from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_parts(df: DataFrame) -> int:

@@ -2,21 +2,23 @@
 
 Every word is a vector learned for the word itself and for its character grams. A
 forward and a backward recurrent layer read windows of words, attention pools their
-states, and a text scores as its most toxic window. The network is trained in numpy on
-a bounded sample of labelled texts; tasks score all overlapping windows of all texts.
+states, and a text scores as its most toxic window. The network is trained in numpy by
+one task, on a bounded sample of labelled texts; tasks score all overlapping windows of
+all texts.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import slices, text_buffers
+from ._util import checkpointed, fresh, slices, text_buffers
 from .bpe import white_space_words
 from .jaccard import word_hashes
 from .suffix import gram_hashes
@@ -24,9 +26,11 @@ from .suffix import gram_hashes
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH, BITS = 8, 8, 13
 GRAMS = (4, 6)
-#: Most labelled texts that training reads: toxic, clean, and for the calibration; and their most characters.
-SAMPLE = {"toxic": 2500, "clean": 4000, "calibration": 2000}
-TRAIN_CHARS, CALIBRATION_CHARS = 4000, 30000
+#: Bounds of the training sample, in texts and in bytes: toxic ones, clean ones, and those of the calibration. Texts are
+#: taken whole, long or short, in the order of a hash, until a bound is met.
+SAMPLE = {"toxic": (2500, 5 << 20), "clean": (4000, 8 << 20), "calibration": (2000, 5 << 20)}
+#: Least steps of gradient descent, so that few labels are read often enough.
+STEPS = 300
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -207,7 +211,10 @@ class Network:
 
 
 def train(texts: list[str], labels: np.ndarray, calibration: tuple[list[str], np.ndarray], epochs: int = 12, batch: int = 192, seed: int = 5) -> Network:
-    """Learn from labelled texts: first from any windows of them, then from each text's most toxic one."""
+    """Learn from labelled texts: first from any windows of them, then from each text's most toxic one.
+
+    Small samples are read in smaller batches and more often, up to STEPS steps.
+    """
     net = Network(seed)
     rng = np.random.default_rng(seed)
     if not len(texts) or labels.min() == labels.max():
@@ -221,9 +228,11 @@ def train(texts: list[str], labels: np.ndarray, calibration: tuple[list[str], np
     begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     ends = np.append(begins[1:], len(text))
     heavy = np.where(labels == 1, 0.5 * len(labels) / max(1, (labels == 1).sum()), 1.0).clip(1, 3)
+    batch = int(np.clip(len(texts) // 10, 32, batch))
+    epochs = max(epochs, -(-STEPS * batch // (2 * len(texts))))
     for epoch in range(epochs):
         any_of = lambda: (begins + rng.random(len(begins)) * (ends - begins)).astype(np.int64)
-        if epoch < 4:
+        if epoch < epochs // 3:
             chosen = np.concatenate([any_of(), any_of()])
         else:
             logit = net.logits(words, at)
@@ -231,7 +240,7 @@ def train(texts: list[str], labels: np.ndarray, calibration: tuple[list[str], np
             other = any_of()
             chosen = np.concatenate([best, other[labels == 0]])
         rng.shuffle(chosen)
-        rate = 0.01 if epoch < epochs - 4 else 0.003
+        rate = 0.01 if epoch < 2 * epochs // 3 else 0.003
         for i in range(0, len(chosen), batch):
             own = chosen[i : i + batch]
             label = labels[text[own]]
@@ -266,26 +275,45 @@ def held_out(id_col: str = "doc_id"):  # noqa: ANN201
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(df: DataFrame, labels: DataFrame, sample: dict[str, int] = SAMPLE) -> Network:
-    """Train on a sample of labelled rows outside the held-out fold, chosen by a hash of doc_id and bounded by ``sample``."""
+def fit(df: DataFrame, labels: DataFrame, sample: dict[str, tuple[int, int]] = SAMPLE) -> Network:
+    """Train on a sample of labelled rows outside the held-out fold, chosen by a hash of doc_id and bounded by ``sample``.
+
+    One task reads the sample and trains; only the parameters, of a fixed number, reach
+    the driver. An id that repeats counts once, with its smallest text; null ids, null
+    labels and ids without a document teach nothing.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("_id", F.lit("sample"))
     aside = F.pmod(F.xxhash64("_id", F.lit("aside")), F.lit(4)) == 0  # a quarter is kept for the calibration
-    parts = [known.where(~aside & (F.col("toxic") == v)).orderBy(order).limit(sample[k]).withColumn("use", F.lit("train")) for k, v in (("toxic", 1), ("clean", 0))]
-    parts.append(known.where(aside).orderBy(order).limit(sample["calibration"]).withColumn("use", F.lit("calibration")))
+    uses = {"toxic": ~aside & (F.col("toxic") == 1), "clean": ~aside & (F.col("toxic") == 0), "calibration": aside}
+    parts = [known.where(uses[u]).orderBy(order).limit(n).withColumn("use", F.lit(u)) for u, (n, _) in sample.items()]
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2])  # at most the sum of the sample sizes
-    most = F.when(F.col("use") == "train", TRAIN_CHARS).otherwise(CALIBRATION_CHARS)
-    rows = df.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.length("text") <= most)
-    rows = rows.groupBy("use", "doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # an id that repeats counts once
-    got = rows.orderBy("use", F.xxhash64("doc_id")).select("use", "text", "toxic").collect()
-    split = lambda use: ([r["text"] for r in got if r["use"] == use], np.array([r["toxic"] for r in got if r["use"] == use], np.float32))
-    return train(*split("train"), split("calibration"))
+    rows = df.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = checkpointed(rows.groupBy("use", "_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("use").orderBy(order, "_id").rowsBetween(Window.unboundedPreceding, -1))
+    most = F.create_map(*[F.lit(x) for u, (_, size) in sample.items() for x in (u, size)])
+    rows = rows.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < most[F.col("use")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[str, tuple[list, list]] = {u: ([], []) for u in ("train", "calibration")}
+        for batch in batches:
+            for use, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("use", "text", "toxic"))):
+                texts, marks = got["calibration" if use == "calibration" else "train"]
+                texts.append(text)
+                marks.append(toxic)
+        (texts, marks), (aside_texts, aside_marks) = got["train"], got["calibration"]
+        net = train(texts, np.array(marks, np.float32), (aside_texts, np.array(aside_marks, np.float32)))
+        net.m = net.s = {}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    one = rows.repartition(1).sortWithinPartitions("use", F.xxhash64("_id"), "_id").select("use", "text", "toxic")
+    got = one.mapInArrow(run, "net binary").first()
+    return pickle.loads(got["net"]) if got else train([], np.zeros(0, np.float32), ([], np.zeros(0, np.float32)))
 
 
 def score_texts(df: DataFrame, net: Network, text_col: str = "text", out: str = "score") -> DataFrame:
     """Add the score of every whole text; a null or empty text is one window without words."""
-    net.m = net.s = {}
-    model = df.sparkSession.sparkContext.broadcast(net)  # a fixed number of parameters, under 2 MB
+    model = df.sparkSession.sparkContext.broadcast(net)  # a fixed number of parameters, under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, 4 << 20):
@@ -295,11 +323,15 @@ def score_texts(df: DataFrame, net: Network, text_col: str = "text", out: str =
 
 
 def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; labels are read only to train."""
+    """doc_id, held_out, score and predicted of every row; labels are read only to train.
+
+    Rows that repeat are scored alike, each on its own; a null doc_id is not held out.
+    """
     scored = score_texts(df.select("doc_id", "text"), fit(df, labels)).drop("text")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that score below one half, with their columns."""
-    return score_texts(df, fit(df, labels), out="_score").where("_score < 0.5").drop("_score")
+    """The rows that score below one half, with their columns; repeated rows and rows without a text are scored like others."""
+    (score,) = fresh(df, "score")
+    return score_texts(df, fit(df, labels), out=score).where(F.col(score) < 0.5).drop(score)

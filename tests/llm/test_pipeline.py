@@ -10,7 +10,7 @@ import corpus_pipeline
 from sheetloom.llm import toxicity
 
 
-def cut_by_hand(texts, window=400):
+def cut_by_hand(texts, window=corpus_pipeline.PASSAGE):
     seen = {}
     for t in texts:
         for i in range(len(t or "") - window + 1):
