@@ -7,7 +7,6 @@ training sequences.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm import jaccard, packing, secrets, suffix, toxicity
+from sheetloom.llm._util import shared_folder
+
+#: Bytes of a repeated passage; passages of over 50 words are longer.
+PASSAGE = 240
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -34,8 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte of a 400-byte string that starts anywhere else goes."""
-    return _sized(suffix.remove_repeats(docs))
+    """Every byte of a string of PASSAGE bytes that starts anywhere else goes."""
+    return _sized(suffix.remove_repeats(docs, PASSAGE))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +65,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; every stage's result is a table in the shared checkpoint folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    shared = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4()}/{name}"
