@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import shared_folder
+
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -22,21 +22,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints, set from spark.checkpoint.dir.
-
-    Only where all tasks run in the driver, as in tests, a local folder stands in for one
-    that is not configured; a cluster without it is an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns, made different from all columns of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -61,24 +46,37 @@ def dense_slots(df: DataFrame, keys: list[str], order: list[str], out: str, spre
     that holds most of the rows is still numbered by many tasks. ``df`` is read
     twice and must give the same rows both times (checkpoint it first).
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
-    sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_bucket") == F.col("_b")]
+    bucket, row, before, b, *own = fresh(df, "bucket", "row", "before", "b", *[f"k{i}" for i in range(len(keys))])
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
+    sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias(before))
+    ahead = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(bucket).alias(b), F.coalesce(F.sum(before).over(ahead), F.lit(0)).alias(before))
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)] + [F.col(bucket) == F.col(b)]
     return (
-        df.withColumn("_row", F.row_number().over(inside))
+        df.withColumn(row, F.row_number().over(inside))
         .join(sizes, on)
-        .withColumn(out, (F.col("_before") + F.col("_row") - 1).cast("long"))
-        .drop("_bucket", "_b", "_row", "_before", *[f"_k{i}" for i in range(len(keys))])
+        .withColumn(out, (F.col(before) + F.col(row) - 1).cast("long"))
+        .drop(bucket, b, row, before, *own)
     )
 
 
+def paired_blocks(blocks: DataFrame, key: str, parts: str, block: str, content: str) -> DataFrame:
+    """(left, right): every block of a key with every block of it, itself included, both ways.
+
+    ``parts`` is the number of the key's blocks. The blocks of a large key meet in a grid
+    of about as many cells as there are shuffle partitions, so no task gets all of them.
+    """
+    most = int(np.ceil(np.sqrt(shuffle_parts(blocks))))
+    several = blocks.where(F.col(parts) > 1).withColumn("grid", F.least(F.col(parts), F.lit(most)).cast("long"))
+    several = several.select(F.col(key).alias("key"), "grid", (F.col(block) % F.col("grid")).alias("cell"), F.col(content).alias("own"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid") - 1))
+    left = several.select("key", F.col("cell").alias("r"), others.alias("c"), F.col("own").alias("left"))
+    right = several.select("key", others.alias("r"), F.col("cell").alias("c"), F.col("own").alias("right"))
+    single = blocks.where(F.col(parts) == 1).select(F.col(content).alias("left"), F.col(content).alias("right"))
+    return left.join(right, ["key", "r", "c"]).select("left", "right").unionByName(single)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in one array, and the offset of each text; null texts are empty."""
     column = pc.fill_null(column.cast(pa.string()), "")

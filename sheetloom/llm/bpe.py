@@ -138,8 +138,10 @@ class ByteWordTable(WordTable):
             ends = np.cumsum(self.width[ids])
             bounds = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
             cuts = np.searchsorted(ends, bounds, side="left") + 1
-            assert (ends[cuts - 1] == bounds).all(), "an id spans two pieces"
-            self._put(plain, ids, np.diff(cuts, prepend=0))
+            if (ends[cuts - 1] == bounds).all():
+                self._put(plain, ids, np.diff(cuts, prepend=0))
+            else:  # an id spans two pieces
+                plain = []
         done = set(plain)
         super()._add([w for w in new if w not in done])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import checkpointed, dense_slots, slices, text_buffers
+from ._util import checkpointed, dense_slots, fresh, slices, text_buffers
 from .bpe import ByteWordTable, spaced_pieces
 
 PLACES = ["size", "first", "n", "sequence", "offset"]
@@ -124,17 +124,17 @@ def pack(pieces: DataFrame, capacity: int = 1024, spread: int = 64) -> DataFrame
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per length
     places = plan_places(counts, capacity)
     size, first, _, sequence, offset = places.T
-    columns = pieces.columns
+    columns, (rank_col,) = pieces.columns, fresh(pieces, "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = size * (1 << 44) + first
         for batch in batches:
-            rank = batch.column("_rank").to_numpy()
+            rank = batch.column(rank_col).to_numpy()
             at = np.searchsorted(keys, batch.column("length").to_numpy() * (1 << 44) + rank, side="right") - 1
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], [*columns, "sequence_id", "offset"])
 
-    ranked = dense_slots(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank", spread)
+    ranked = dense_slots(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], rank_col, spread)
     return ranked.mapInArrow(place, T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 

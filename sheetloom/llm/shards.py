@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import checkpointed, dense_slots
+from ._util import checkpointed, dense_slots, fresh
 
 LEVELS = ("h_text", "h_doc", "row")
 
@@ -111,13 +111,18 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 24, tolerance: float = 0.0005,
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 24, tolerance: float = 0.0005) -> None:
-    """Write whole documents to one folder per shard, after one exchange of the texts."""
+    """Write whole documents to one folder per shard, after one exchange of the texts.
+
+    All rows and columns stay, null texts too; the folders are called ``shard=``, with
+    underscores before it where the documents have such a column.
+    """
     keyed = checkpointed(keyed_rows(df))
     shard = F.lit(0)
     for key, inclusive in splitters(keyed, n_shards, tolerance):
         shard = shard + _above(key, inclusive).cast("int")
-    # the row number is only needed to tell equal rows apart; documents go by the two hashes
+    # the columns of the documents travel in one, so that no name of theirs meets the keys
+    (folder,) = fresh(df, "shard")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = df.withColumns({"h_text": F.xxhash64(text), "h_doc": F.xxhash64(F.col("doc_id"))}).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("shard", shard).withColumn("_salt", F.pmod("h_doc", F.lit(16)))
-    rows.repartition("shard", "_salt").drop(*LEVELS, "_salt").write.partitionBy("shard").parquet(path)
+    rows = df.select(F.struct(*df.columns).alias("own"), F.xxhash64(text).alias("h_text"), F.xxhash64(F.col("doc_id")).alias("h_doc")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("shard", shard).withColumn("salt", F.pmod("h_doc", F.lit(16)))
+    rows.repartition("shard", "salt").select("own.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
