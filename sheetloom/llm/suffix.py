@@ -4,7 +4,9 @@ Every window of the given length has one anchor: the gram with the smallest hash
 it. Equal windows have equal anchors, so the stretches of window starts that share an
 anchor meet in one group wherever they lie. Stretches with equal bytes are repeats at
 once; the different ones of an anchor go into a suffix array built by two-stage
-sorting, whose adjacent common prefixes show the windows that occur again.
+sorting: the suffixes smaller than their successors are sorted directly, the others are
+induced from them by scanning the buckets, and the adjacent common prefixes of the array
+show the windows that occur again.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import checkpointed, shuffle_parts, slices, text_buffers
+from ._util import checkpointed, fresh, shuffle_parts, slices, text_buffers
 
 GRAM = 64
 CHUNK = 1 << 19
@@ -27,11 +29,11 @@ CROWD = 512
 #: Window starts of a piece; pieces of a crowd meet only where the bytes that all their windows share are equal.
 PIECE = 16
 #: Such pieces that one suffix array holds; more are counted window by window.
-PIECES = 4096
+PIECES = 1024
 #: Bytes that one suffix array holds.
-ARRAY_BYTES = 1 << 19
-#: Up to this many wanted stretches are sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+ARRAY_BYTES = 1 << 18
+#: Up to this many text hashes (8 bytes each) are sent to every executor, to pick the texts that a join needs; beyond it the join shuffles all texts.
+BROADCAST_KEYS = 2_000_000
 
 _BYTE = np.random.default_rng(400).integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = np.random.default_rng(401).integers(0, 2**63, (12, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,70 +104,63 @@ def stretches(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[li
         i = j
 
 
-PACKED = 7
+#: Ends every stretch in a suffix array; no UTF-8 text holds this byte.
+END = b"\xff"
 
 
-def prefix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """(width, rank of every position by its first ``width`` symbols), doubling the width until ``depth`` or until all differ.
-
-    Symbols are below 512, so that the first PACKED of them are one number; ranks past
-    the end are 0.
-    """
-    n = len(text)
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(PACKED, np.int64)])
-    key = np.zeros(n, np.int64)
-    for i in range(PACKED):
-        key = (key << 9) | padded[i : i + n]
-    width, out = PACKED, []
-    while True:
-        order = np.argsort(key)
-        ahead = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[True], ahead[1:] != ahead[:-1]]))
-        out.append((width, rank))
-        if width >= depth or width >= n or rank.max() == n:
-            return out
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:]
-        width *= 2
+def eight_bytes(data: np.ndarray, past: int) -> np.ndarray:
+    """The eight bytes from each place on as one number that compares like them, for ``past`` places past the end too."""
+    out = np.concatenate([data, np.zeros(past + 8, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):
+        out = (out[:-width] << np.uint64(8 * width)) | out[width:]
+    return out
 
 
-def two_stage_suffixes(text: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
-    """Suffix array of small non-negative integers.
+def two_stage_suffixes(text: bytes, depth: int | None = None, chosen: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the suffixes of ``text`` in the order of their first ``depth`` bytes (of all bytes, without it).
 
-    Suffixes smaller than their successors are sorted directly, by their ranks (of the
-    last width of prefix_ranks; a bounded width sorts that many symbols); the others
-    follow from them in one scan from the front: the suffix that starts before a sorted
-    one goes to the next free place of its first symbol's bucket.
+    Only suffixes smaller than their successors are sorted by comparing bytes. The others
+    follow in one scan over the buckets of the first byte: the suffix that starts before a
+    sorted one, and is larger than it, goes to the next free place of its own bucket.
+    With ``chosen``, a flag for each place, the array has only the chosen suffixes and
+    those after them that they are induced from.
     """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
-    # smaller than its successor: by the first later symbol that differs
-    change = np.flatnonzero(text[1:] != text[:-1])
+    data = np.frombuffer(text, np.uint8)
+    # smaller than its successor: by the first later byte that differs
+    change = np.flatnonzero(data[1:] != data[:-1])
     rises = np.zeros(n, dtype=bool)
     if len(change):
-        steps = np.diff(np.concatenate([[-1], change]))
-        up = np.repeat(text[change + 1] > text[change], steps)
+        up = np.repeat(data[change + 1] > data[change], np.diff(change, prepend=-1))
         rises[: len(up)] = up
-    ranks = prefix_ranks(text, n)[-1][1] if ranks is None else ranks
-    wanted = np.flatnonzero(rises)
-    direct = wanted[np.argsort(ranks[wanted])]
-    sizes = np.bincount(text)
+    if chosen is None:
+        chosen = np.ones(n, dtype=bool)
+    else:
+        last = np.flatnonzero(chosen & ~rises & ~np.append(chosen[1:], False))
+        ups = np.append(np.flatnonzero(rises), n - 1)
+        step = np.bincount(last, minlength=n + 1) - np.bincount(ups[np.searchsorted(ups, last)] + 1, minlength=n + 1)
+        chosen = chosen | (np.cumsum(step)[:n] > 0)
+    letters, width = text.decode("latin-1"), depth or n  # a letter a byte, in the same order
+    wanted, packed = np.flatnonzero(rises & chosen), eight_bytes(data, 16)
+    wanted = wanted[np.lexsort((packed[wanted + 8], packed[wanted]))]  # a sort of what is nearly in order compares less
+    direct = np.array(sorted(wanted.tolist(), key=lambda i: letters[i : i + width]), np.int64)
+    sizes = np.bincount(data[chosen], minlength=256)
     starts = np.cumsum(sizes) - sizes
-    falls = np.bincount(text[~rises], minlength=len(sizes))
-    firsts = text[direct]
+    falls = np.bincount(data[chosen & ~rises], minlength=256)
+    firsts = data[direct]
     place = np.arange(len(direct)) - np.searchsorted(firsts, firsts)
-    array = np.full(n, -1, np.int64)
+    array = np.full(sizes.sum(), -1, np.int64)
     array[starts[firsts] + falls[firsts] + place] = direct  # those smaller than their successor end their bucket
-    # for each suffix the symbol before it if that one starts a falling suffix, else -1
+    # for each suffix the byte before it if a falling suffix to be placed starts there, else -1
     before = np.full(n, -1, np.int64)
-    before[1:] = np.where(~rises[:-1], text[:-1], -1)
+    before[1:] = np.where(chosen[:-1] & ~rises[:-1], data[:-1].astype(np.int64), -1)
     order, symbol, heads = array.tolist(), before.tolist(), starts.tolist()
-    last = n - 1
-    order[heads[text[last]]] = last
-    heads[text[last]] += 1
-    for i in range(n):
+    if chosen[-1]:
+        order[heads[text[-1]]] = n - 1
+        heads[text[-1]] += 1
+    for i in range(len(order)):
         j = order[i]
         c = symbol[j]
         if c >= 0:
@@ -174,43 +169,43 @@ def two_stage_suffixes(text: np.ndarray, ranks: np.ndarray | None = None) -> np.
     return np.array(order, np.int64)
 
 
-def adjacent_prefixes(text: np.ndarray, array: np.ndarray, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Common prefix length of each suffix in the array with the one before it, exact below the last width of ``ranks`` and at least that otherwise."""
+def adjacent_prefixes(text: bytes, array: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefix length of each suffix in the array with the one before it there, counted up to ``depth`` bytes."""
     n = len(text)
-    a, b = array[1:], array[:-1]
-    out = np.zeros(len(a), np.int64)
-    for width, rank in reversed(ranks):
-        rank = np.concatenate([rank, np.zeros(1, np.int64)])
-        x, y = np.minimum(a + out, n), np.minimum(b + out, n)
-        out += np.where((rank[x] == rank[y]) & (x < n) & (y < n), width, 0)
-    padded = np.concatenate([text.astype(np.int64), [-1]])
-    open_ = np.ones(len(a), dtype=bool)
-    for _ in range(PACKED - 1):
-        x, y = np.minimum(a + out, n), np.minimum(b + out, n)
-        open_ &= (padded[x] == padded[y]) & (x < n) & (y < n)
-        out += open_
-    return np.concatenate([[0], out])
+    packed = eight_bytes(np.frombuffer(text, np.uint8), depth)
+    out = np.zeros(len(array), np.int64)
+    open_, a, b = np.arange(1, len(array)), array[1:], array[:-1]  # places in the array whose prefix is equal so far
+    for done in range(0, depth, 8):
+        differ = packed[a] ^ packed[b]
+        same = differ == 0
+        if not same.all():
+            high = differ[~same]
+            bits = np.frexp((high & ~(high >> np.uint64(1))).astype(np.float64))[1]  # without the second bit none is rounded up
+            out[open_[~same]] = done + (64 - bits) // 8
+            open_, a, b = open_[same], a[same], b[same]
+        if not len(open_):
+            break
+        out[open_] = done + 8
+        a, b = a + 8, b + 8
+    out[1:] = np.minimum(out[1:], n - np.maximum(array[1:], array[:-1]))  # no suffix goes past the end
+    return np.minimum(out, depth)
 
 
 def repeated_starts(stretch_bytes: list[bytes], starts: list[int], window: int) -> list[np.ndarray]:
     """For each stretch, whether the window at each of its starts also begins at a start of any stretch."""
-    sizes = [len(b) + 1 for b in stretch_bytes]
-    text = np.zeros(sum(sizes), np.int64)
+    text = END.join(stretch_bytes) + END
+    bases = np.concatenate([[0], np.cumsum([len(b) + 1 for b in stretch_bytes])]).astype(np.int64).tolist()
     valid = np.zeros(len(text), dtype=bool)
-    bases = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    for base, raw, n in zip(bases.tolist(), stretch_bytes, starts):
-        text[base : base + len(raw)] = np.frombuffer(raw, np.uint8).astype(np.int64) + 1
+    for base, n in zip(bases, starts):
         valid[base : base + n] = True
-    ranks = prefix_ranks(text, window)
-    array = two_stage_suffixes(text, ranks[-1][1])
-    prefix = adjacent_prefixes(text, array, ranks)
-    # suffixes between two breaks of the prefixes share a window; two valid starts among them are repeats
-    group = np.cumsum(prefix < window)
-    many = np.bincount(group, weights=valid[array]) > 1
+    array = two_stage_suffixes(text, window, valid)
+    array = array[valid[array]]
+    # suffixes between two breaks of the prefixes share a window
+    group = np.cumsum(adjacent_prefixes(text, array, window) < window)
+    many = np.bincount(group) > 1
     again = np.zeros(len(text), dtype=bool)
     again[array] = many[group]
-    again &= valid
-    return [again[b : b + n] for b, n in zip(bases.tolist(), starts)]
+    return [again[b : b + n] for b, n in zip(bases, starts)]
 
 
 def _runs(flags: np.ndarray, window: int, base: int) -> list[dict[str, int]]:
@@ -223,15 +218,19 @@ RANGES = "array<struct<a:long,b:long>>"
 _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _small_or_shuffled(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be among ``keys``: all those that are, and others where there are too many keys to send."""
+    if keys.count() > BROADCAST_KEYS:
+        return rows
+    return rows.join(F.broadcast(keys.select(F.xxhash64("key").alias("_h"))), F.xxhash64("key") == F.col("_h"), "left_semi")
 
 
 def repeated_ranges(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """(key, ranges) of texts with repeats, and (key, copies) of all texts; ``rows`` has key (hash of the text) and text."""
+    """(key, ranges) of texts with repeats, and (key, copies) of texts that occur again; ``rows`` has key (a digest of the text) and text."""
+    rows = rows.where(F.octet_length("text") >= window)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         kind = pa.list_(pa.struct([("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]))
         for part in slices(batches, "text", CHUNK):
             found = []
@@ -243,28 +242,26 @@ def repeated_ranges(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
                 seen.clear()
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, kind)], ["key", "found"])
 
-    indexed = checkpointed(rows.mapInArrow(index, "key long, found array<struct<anchor:long,content:long,start:long,n:long>>"))
+    indexed = checkpointed(rows.mapInArrow(index, "key binary, found array<struct<anchor:long,content:long,start:long,n:long>>"))
     copies = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     all_stretches = indexed.select("key", F.inline("found"))
-    shared = all_stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # counts are checkpointed before they are joined, so that Spark can split an anchor that very many stretches share
+    shared = checkpointed(all_stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
     # texts seen by two tasks give equal stretches twice, which is right: they are copies
     shared = checkpointed(all_stretches.join(shared, "anchor", "left_semi"))
     distinct = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start", "n")).alias("at"))
     distinct = checkpointed(distinct)
-    crowd = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    crowd = checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     wanted = distinct.join(crowd, "anchor").select("anchor", "content", (F.col("m") > CROWD).alias("crowded"), "at.*")
     wanted = checkpointed(wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "crowded", "start", "n")).alias("wanted")))
-    texts = rows.join(_small_or_shuffled(wanted), "key")
+    # one copy of each text that is wanted
+    texts = _chosen(rows, wanted).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         names = ["anchor", "content", "base", "n", "core", "bytes"]
         for part in slices(batches, "text", CHUNK):
             out = []
-            for key, text, own in zip(*(part.column(c).to_pylist() for c in ("key", "text", "wanted"))):
-                if key in seen:
-                    continue
-                seen.add(key)
+            for text, own in zip(*(part.column(c).to_pylist() for c in ("text", "wanted"))):
                 raw = text.encode()
                 for s in own:
                     b = raw[s["start"] : s["start"] + s["n"] - 1 + window]
@@ -293,8 +290,6 @@ def repeated_ranges(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
         size = 0
         for batch in batches:
             for x in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "base", "n", "core", "bytes"))):
-                if waiting and x[:3] == waiting[-1][:3] and x[4] == waiting[-1][4]:
-                    continue  # cut by two tasks from copies of a text
                 if size > ARRAY_BYTES and (x[0], x[4]) != (waiting[-1][0], waiting[-1][4]):
                     yield settle(waiting)
                     waiting, size = [], 0
@@ -345,25 +340,37 @@ def _removed(text: str, copied: bool, ranges: list[dict[str, int]] | None, windo
     return raw, merged, b"".join([*kept, raw[at:]])
 
 
-def with_repeats(df: DataFrame, window: int, text_col: str = "text") -> DataFrame:
-    """``df`` with _text (never null), _copied and _ranges; what each text loses is found from these alone."""
-    rows = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_at", F.xxhash64("_text"))
-    ranges, copies = repeated_ranges(rows.select(F.col("_at").alias("key"), F.col("_text").alias("text")), window)
-    losses = checkpointed(ranges.join(copies, "key", "full").select(F.col("key").alias("_hash"), F.col("copies").isNotNull().alias("_copied"), F.when(F.col("copies").isNull(), F.col("ranges")).alias("_ranges")))
-    return rows.join(losses, F.col("_at") == F.col("_hash"), "left").drop("_hash", "_at")
+def with_repeats(df: DataFrame, window: int, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """``df`` with three more columns, and their names: the text (never null), whether it occurs again as a whole, its repeated ranges."""
+    text, key, again, ranges, lost = fresh(df, "whole", "key", "again", "ranges", "lost")
+    rows = df.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(key, F.unhex(F.md5(F.col(text))))
+    found, copies = repeated_ranges(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), window)
+    losses = found.join(copies, "key", "full").select(F.col("key").alias(lost), F.col("copies").isNotNull().alias(again), F.when(F.col("copies").isNull(), F.col("ranges")).alias(ranges))
+    losses = checkpointed(losses)
+    on = F.col(key) == F.col(lost)
+    if losses.count() > BROADCAST_KEYS:
+        return rows.join(losses, on, "left").drop(key, lost), [text, again, ranges]
+    # texts that lose nothing stay where they are
+    near, (h,) = F.xxhash64(key), fresh(rows, "h")
+    keys = F.broadcast(losses.select(F.xxhash64(lost).alias(h)))
+    some = rows.join(keys, near == F.col(h), "left_semi").join(losses, on, "left").drop(lost)
+    others = rows.join(keys, near == F.col(h), "left_anti").withColumns({again: F.lit(None).cast("boolean"), ranges: F.lit(None).cast(RANGES)})
+    return some.unionByName(others).drop(key), [text, again, ranges]
 
 
 def dedup_report(df: DataFrame, window: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     Removed is each byte covered by a string of ``window`` bytes that also starts
-    elsewhere, in the same text or another. Null texts are empty; texts shorter than the
-    window lose nothing. Equal texts are found by a 64-bit hash.
+    elsewhere, in the same text or another; of rows that repeat, each is elsewhere to the
+    other. Null texts are empty; texts shorter than the window lose nothing. Equal texts
+    are found by a digest of 128 bits.
     """
+    found, names = with_repeats(df.select("doc_id", "text"), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
-            rows = [_removed(*x, window) for x in zip(*(part.column(c).to_pylist() for c in ("_text", "_copied", "_ranges")))]
+        for part in slices(batches, names[0]):
+            rows = [_removed(*x, window) for x in zip(*(part.column(c).to_pylist() for c in names))]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -375,20 +382,23 @@ def dedup_report(df: DataFrame, window: int = 400) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    found = with_repeats(df.select("doc_id", "text"), window).select("doc_id", "_text", "_copied", "_ranges")
-    return found.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", *names).mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(df: DataFrame, window: int = 400, text_col: str = "text") -> DataFrame:
-    """``df`` with its repeated passages cut out of the text; code points cut in two are dropped whole."""
+    """``df`` with its repeated passages cut out of the text; code points cut in two are dropped whole.
+
+    All rows and columns stay, whatever the columns are called; a null text stays null.
+    """
     columns = df.columns
+    found, names = with_repeats(df, window, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, names[0]):
             texts = [
                 None if old is None else old if not (c or r) else _removed(t, c, r, window)[2].decode(errors="ignore")
-                for old, t, c, r in zip(*(part.column(c).to_pylist() for c in (text_col, "_text", "_copied", "_ranges")))
+                for old, t, c, r in zip(*(part.column(c).to_pylist() for c in (text_col, *names)))
             ]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in columns], columns)
 
-    return with_repeats(df, window, text_col).mapInArrow(run, T.StructType(df.schema.fields))
+    return found.mapInArrow(run, T.StructType(df.schema.fields))
