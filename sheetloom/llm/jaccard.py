@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import WHITE, checkpointed, components, dense_slots, shuffle_parts, slices, text_buffers
+from ._util import WHITE, checkpointed, components, dense_slots, fresh, paired_blocks, shuffle_parts, slices, text_buffers
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 COORDINATES = 128
@@ -26,6 +26,8 @@ COORDINATES = 128
 SMALL_LEAF = 16
 #: Up to this many document ids are sent to every executor (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets of a component that are compared with as many others at once when links are counted.
+BLOCK = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,31 +131,56 @@ def points_of(raw: list[bytes]) -> np.ndarray:
     return np.array([np.frombuffer(r, np.uint8 if len(r) == COORDINATES else np.uint32) for r in raw], np.int32)
 
 
-def indexed_sets(df: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    """Per row: id, n, fp (hash of the set), and at its first sight in a task the leaf keys and count vector."""
+def _print(u: np.ndarray) -> int:
+    """Hash of a set."""
+    return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def described_sets(df: DataFrame, n: int) -> DataFrame:
+    """Per row: id, n, fp (hash of the set, null if empty), and at its first sight in a task the count vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in slices(batches, "text", 4 << 20):
-            sizes, prints, keys, vectors = [], [], [], []
+            sizes, prints, vectors = [], [], []
             for u in shingle_sets(*text_buffers(part.column("text")), n):
-                fp = int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) if len(u) else None
+                fp = _print(u) if len(u) else None
                 sizes.append(len(u))
                 prints.append(fp)
+                vectors.append(None if fp is None or fp in seen else count_vector(u))
+                seen.add(fp)
+            if len(seen) > 500_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(vectors, pa.binary())], ["id", "n", "fp", "vec"])
+
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n long, fp long, vec binary")
+
+
+def leaf_rows(df: DataFrame, n: int, limit: Threshold) -> DataFrame:
+    """(key, fp): the leaves of every set, at its first sight in a task.
+
+    Texts are read a second time for them, as the keys are as large as the texts and would
+    have to be stored between the two uses.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in slices(batches, "text", 4 << 20):
+            keys, prints, counts = [], [], []
+            for u in shingle_sets(*text_buffers(part.column("text")), n):
+                fp = _print(u) if len(u) else None
                 if fp is None or fp in seen:
-                    keys.append(None)
-                    vectors.append(None)
-                else:
-                    seen.add(fp)
-                    keys.append(leaf_keys(u, limit).view(np.int64))
-                    vectors.append(count_vector(u))
+                    continue
+                seen.add(fp)
+                keys.append(leaf_keys(u, limit).view(np.int64))
+                prints.append(fp)
+                counts.append(len(keys[-1]))
             if len(seen) > 500_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], ["id", "n", "fp", "keys", "vec"]
-            )
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(prints, np.int64), counts))], ["key", "fp"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n long, fp long, keys array<long>, vec binary")
+    return df.select("text").mapInArrow(run, "key long, fp long")
 
 
 def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +283,9 @@ def _block_pairs(limit: Threshold):  # noqa: ANN202
 def _sets_of(df: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
-            sets = [u.tobytes() for u in shingle_sets(*text_buffers(part.column("text")), n)]
-            prints = [int.from_bytes(hashlib.blake2b(u, digest_size=8).digest(), "little", signed=True) if u else None for u in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.binary())], ["fp", "set"])
+            sets = list(shingle_sets(*text_buffers(part.column("text")), n))
+            prints = [_print(u) if len(u) else None for u in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["fp", "set"])
 
     return df.select("text").mapInArrow(run, "fp long, set binary")
 
@@ -270,19 +297,25 @@ def _bounded_pairs(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(limit), "a long, b long")
 
 
+def _sets_named(named: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(fp, set) of the sets ``named`` (fp, _id), from the texts of one document each.
+
+    The ids of these documents are sent to all executors only after a check of their number.
+    """
+    ids = named.select("_id").distinct()
+    ids = F.broadcast(ids) if named.count() <= BROADCAST_IDS else ids
+    sets = _sets_of(rows.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi"), n)
+    return sets.join(named.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set"))
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
     """The pairs of set hashes that link, counted on the sets of one document each.
 
-    Texts are read again for the documents named, so no set is stored; the ids of these
-    documents are sent to all executors only after a check of their number.
+    Texts are read again for the documents named, so no set is stored.
     """
     pairs = checkpointed(pairs)
     named = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    named = checkpointed(named.join(reps, "fp").select("fp", F.col("id").alias("_id")))
-    ids = named.select("_id").distinct()
-    ids = F.broadcast(ids) if named.count() <= BROADCAST_IDS else ids
-    sets = _sets_of(rows.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi"), n)
-    sets = sets.join(named.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set"))
+    sets = _sets_named(checkpointed(named.join(reps, "fp").select("fp", F.col("id").alias("_id"))), rows, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,30 +329,72 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, limit:
     return checkpointed(both.mapInArrow(run, "a long, b long"))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, limit: Threshold | None = None) -> DataFrame:
-    """Per row of ``df``: its id, n_shingles, and component_id, the smallest id reachable by links.
+def _block_links(limit: Threshold):  # noqa: ANN202
+    """Of two blocks of one component: how many rows of the right block each set of the left one links with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                a, b = left.values, right.values
+                mine, theirs = ([np.frombuffer(x, np.uint64) for x in side.field("set").to_pylist()] for side in (a, b))
+                ids, other, copies = a.field("fp").to_numpy(), b.field("fp").to_numpy(), b.field("copies").to_numpy()
+                sizes = np.array([len(x) for x in theirs], np.int64)
+                begins = np.cumsum(sizes) - sizes
+                names, place = np.unique(np.concatenate(theirs), return_inverse=True)
+                counts = np.zeros(len(ids), np.int64)
+                for i, own in enumerate(mine):
+                    at = np.searchsorted(names, own)
+                    at[at == len(names)] = 0
+                    held = np.zeros(len(names), np.int64)
+                    held[at[names[at] == own]] = 1
+                    linked = limit.overlap_fits(np.add.reduceat(held[place], begins), len(own), sizes) & (other != ids[i])
+                    counts[i] = copies[linked].sum()
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], ["fp", "links"])
+
+    return run
+
+
+def count_links(members: DataFrame, rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
+    """(fp, links): how many rows with another set each set of ``members`` (fp, root, _id, copies) links with.
+
+    Links lie inside components, so each component's sets are compared with each other,
+    block by block; pairs are counted, never written.
+    """
+    blocks = dense_slots(members, ["root"], ["fp"], "slot", spread=8)
+    parts = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    blocks = blocks.join(parts, "root").join(_sets_named(members.select("fp", "_id"), rows, n), "fp")
+    blocks = blocks.groupBy("root", "parts", F.floor(F.col("slot") / BLOCK).alias("block")).agg(F.collect_list(F.struct("fp", "copies", "set")).alias("sets"))
+    pairs = paired_blocks(checkpointed(blocks), "root", "parts", "block", "sets")
+    return pairs.mapInArrow(_block_links(limit), "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, limit: Threshold | None = None, links: bool = True) -> DataFrame:
+    """Per row of ``df``: its id, n_shingles, component_id, the smallest id reachable by links, and n_links, the other rows it links with.
 
     Words are runs without ASCII white space, A-Z lowered; a text of fewer than n words
     is one shingle, one without words (or null) is empty and its own component. Rows
-    with equal sets are one point, so copies are never paired. First every leaf pairs
-    its sets with its first set only; pairs whose sets are then still in different
-    components are checked too, all of them. Null ids never name a component
-    unless it has no other. Extra columns are left out.
+    with equal sets are one point, so copies are never paired. First every set is paired
+    with the first set of one leaf; pairs whose sets are then still in different
+    components are checked too, all of them. Links are counted inside the components
+    that come out, copies included; without ``links`` they are not counted. Null ids never
+    name a component unless it has no other. Extra columns are left out.
     """
     limit = limit or Threshold(80, 100)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = checkpointed(indexed_sets(rows, n, limit))
-    reps = checkpointed(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec", ignorenulls=True).alias("vec")))
-    leaves = sets.select(F.explode("keys").alias("key"), "fp").repartition(shuffle_parts(df), "key").sortWithinPartitions("key", "fp")
+    sets = checkpointed(described_sets(rows, n))
+    reps = checkpointed(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec", ignorenulls=True).alias("vec"), F.count(F.lit(1)).alias("copies")))
+    leaves = leaf_rows(rows, n, limit).repartition(shuffle_parts(df), "key").sortWithinPartitions("key", "fp")
     found = checkpointed(leaves.mapInArrow(_leaf_pairs, "kind tinyint, a long, b long, key long").distinct())
-    links = _verified(_bounded_pairs(found.where("kind = 0").select("a", "b"), reps, limit), reps, rows, n, limit)
+    # at first each set with the smallest of its leaves' first sets, which copies of one text mostly share
+    stars = found.where("kind = 0").groupBy("a").agg(F.min("b").alias("b"))
+    links = _verified(_bounded_pairs(stars, reps, limit), reps, rows, n, limit)
     roots = checkpointed(components(links))
 
     def rooted(x: DataFrame, c: str) -> DataFrame:
         near = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         return x.join(near, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
 
-    apart = rooted(rooted(found.where("kind = 1").select("a", "b"), "a"), "b").where("ra <> rb").select("a", "b")
+    apart = rooted(rooted(found.where("kind < 2").select("a", "b"), "a"), "b").where("ra <> rb").select("a", "b")
     apart = _bounded_pairs(apart, reps, limit)
     members = rooted(found.where("kind = 2").select("key", "a"), "a")
     # in a leaf of several components, pairs inside its largest need no look
@@ -339,16 +414,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         apart = apart.unionByName(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
     more = _verified(apart, reps, rows, n, limit)
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    final = components(edges).withColumnRenamed("node", "fp")
-    named = reps.select("fp", "id").join(final, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    final = checkpointed(components(edges).withColumnRenamed("node", "fp"))
+    final = final.unionByName(final.select(F.col("root").alias("fp"), "root").distinct())  # a root is no node there
+    named = reps.select("fp", "id", "copies").join(final, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
+    kept = [F.col("fp").alias("_fp"), "component_id"]
+    if links:
+        members = checkpointed(final.join(reps, "fp").select("fp", "root", F.col("id").alias("_id"), "copies"))
+        named = named.join(count_links(members, rows, n, limit), "fp", "left")
+        kept.append((F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.join(smallest, "root").select(*kept)
     out = sets.select("id", "n", "fp").join(named, F.col("fp") == F.col("_fp"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")]
+    return out.select(*own, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []))
 
 
 def keep_one(df: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """The documents that name their component: one of each group stays, with all its columns."""
-    named = jaccard_components(df, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = df.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    """The documents that name their component: one of each group stays, with all its columns.
+
+    Of rows that repeat an id, one stays for each different text. Documents without words
+    stay, as each is a group of its own.
+    """
+    own, text = fresh(df, "named", "digest")
+    named = jaccard_components(df, links=False, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = df.join(named, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    return kept.withColumn(text, F.md5("text")).dropDuplicates(["doc_id", text]).drop(text)
