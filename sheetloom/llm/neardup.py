@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import checkpointed, components, dense_slots, shuffle_parts
+from ._util import checkpointed, components, dense_slots, paired_blocks, shuffle_parts
 
 BLOCK = 512
 #: Queries of the audit: at most this many vectors are sent to every executor.
@@ -256,9 +256,12 @@ def audit(points: DataFrame, found: DataFrame, least: float, few: int = 10, quer
     """The recall of ``found`` (node, n_links), measured by comparing a bounded sample of vectors with all rows.
 
     It is the mean over the sampled vectors that have links, each counting once however many
-    it has, or that over the vectors with at most ``few`` links, if it is worse.
+    it has, or that over the vectors with at most ``few`` links, if it is worse. Half of the
+    sample are vectors found to have links, so that it holds some where links are rare.
     """
-    sample = points.orderBy(F.xxhash64("node")).select("node", "vec").limit(queries).collect()  # bounded by `queries`
+    linked = points.join(found.where("n_links > 0").select("node"), "node", "left_semi")
+    halves = [x.orderBy(F.xxhash64("node")).select("node", "vec").limit(queries // 2) for x in (points, linked)]
+    sample = halves[0].unionByName(halves[1]).distinct().collect()  # bounded by `queries`
     ids = np.array([r["node"] for r in sample], np.int64)
     raw = [bytes(r["vec"]) for r in sample]
 
@@ -283,11 +286,11 @@ def audit(points: DataFrame, found: DataFrame, least: float, few: int = 10, quer
 def link_counts(points: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(node, n_links to other vectors): exact inside every component of ``roots`` (node, root)."""
     members = checkpointed(roots.join(points, "node").select("root", "node", "vec", "copies"))
-    placed = dense_slots(members, ["root"], ["node"], "slot", spread=8)
-    blocks = placed.groupBy("root", F.floor(F.col("slot") / BLOCK).alias("block")).agg(F.collect_list(F.struct("node", "vec", "copies")).alias("points"))
-    blocks = checkpointed(blocks)
-    both = blocks.select("root", F.col("points").alias("left")).join(blocks.select("root", F.col("points").alias("right")), "root")
-    counts = both.select("left", "right").mapInArrow(_linked_blocks(least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+    parts = checkpointed(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")))
+    placed = dense_slots(members, ["root"], ["node"], "slot", spread=8).join(parts, "root")
+    blocks = placed.groupBy("root", "parts", F.floor(F.col("slot") / BLOCK).alias("block")).agg(F.collect_list(F.struct("node", "vec", "copies")).alias("points"))
+    both = paired_blocks(checkpointed(blocks), "root", "parts", "block", "points")
+    counts = both.mapInArrow(_linked_blocks(least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
     return checkpointed(counts)
 
 
