@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._util import checkpointed
+
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: measure -> cutoffs from mild to strict; a document is rejected when the measure is above the cutoff.
@@ -126,7 +128,8 @@ def risk_controlled(df: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     Documents of a stratum without cutoffs are judged by the base rule alone. Extra
     columns of ``df`` are left out.
     """
-    rows = base_measures(df.select("doc_id", "text", F.col(stratum).alias("stratum"))).drop("text")
+    # read by the cutoffs and by the verdicts: a few numbers a document, so that texts are measured once
+    rows = checkpointed(base_measures(df.select("doc_id", "text", F.col(stratum).alias("stratum"))).drop("text"))
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("_q")).where("_q = 1").select(F.col("doc_id").alias("_id"))
     # the distinct strata and rules bound this table, not the documents
     cutoffs = choose_cutoffs(rows.join(good, F.col("doc_id") == F.col("_id"), "left_semi"), risk=risk, error=error)
