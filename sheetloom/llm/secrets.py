@@ -14,11 +14,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._util import checkpointed, fresh
+
 with warnings.catch_warnings():
     warnings.simplefilter("ignore")
     import sre_constants as sc
     import sre_parse
 
+#: Up to this many candidates (a hash and the names of a few rules each, under 200 bytes) are sent to every executor.
+BROADCAST_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -82,22 +87,22 @@ def trigram_query(regex: str, most: int = 64) -> list[frozenset[str]]:
     return sorted((f for f in found if not any(g < f for g in found)), key=sorted)
 
 
-def build_postings(rows: DataFrame, trigrams: list[str], key: str = "_key", text: str = "_text") -> DataFrame:
+def build_postings(rows: DataFrame, trigrams: list[str], key: str = "key", text: str = "text") -> DataFrame:
     """(trigram, key) for the ``trigrams`` that the lower-cased text holds."""
-    low = rows.select(key, F.lower(text).alias("_low"))
-    held = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in trigrams]))
+    low = rows.select(key, F.lower(text).alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]))
     return low.select(key, F.explode(held).alias("trigram")).distinct()
 
 
-def candidates(postings: DataFrame, rules: tuple[Rule, ...], key: str = "_key") -> DataFrame:
-    """(key, names of the rules whose query it meets), by intersecting postings.
+def candidates(postings: DataFrame, rules: tuple[Rule, ...], key: str = "key") -> DataFrame:
+    """(key, rules: names of those whose query it meets), by intersecting postings.
 
     The clause table has a row per rule, alternative and trigram: the rules bound it.
     """
     clauses = [(r.name, i, t, len(a)) for r in rules for i, a in enumerate(trigram_query(r.regex)) for t in sorted(a)]
     table = postings.sparkSession.createDataFrame(clauses, "rule string, alternative int, trigram string, needed int")
     hits = postings.join(F.broadcast(table), "trigram").groupBy(key, "rule", "alternative").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"))
-    return hits.where("n = needed").groupBy(key).agg(F.collect_set("rule").alias("_rules"))
+    return hits.where("n = needed").groupBy(key).agg(F.collect_set("rule").alias("rules"))
 
 
 def _matches(text: Column, order: int, rule: Rule) -> Column:
@@ -131,24 +136,28 @@ def find_spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
     Spans count code points of the whole text, ends exclusive; ``kind`` is the rule's
     position. Matches are leftmost and do not overlap within a rule. A null text counts
     as empty. Rows meet their candidates by a hash of id and text, so a text that holds
-    a third of all rows is not one key; rows alike in both share their candidates.
+    a third of all rows is not one key; rows alike in both share their candidates. Up to
+    BROADCAST_ROWS candidates are sent to every executor; more are joined by a shuffle.
+    Rows that repeat are searched each on its own, and no column of ``df`` is touched.
     """
-    rows = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    rows = rows.withColumn("_key", F.xxhash64(*([F.col("doc_id")] if "doc_id" in df.columns else []), F.col("_text")))
+    text, key, named, at = fresh(df, "whole", "key", "rules", "at")
+    rows = df.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.withColumn(key, F.xxhash64(*([F.col("doc_id")] if "doc_id" in df.columns else []), F.col(text)))
     queries = {r.name: trigram_query(r.regex) for r in rules}
     needed = sorted({t for q in queries.values() for a in q for t in a})
     if needed:
-        found = candidates(build_postings(rows, needed), rules).withColumnRenamed("_key", "_at")
-        rows = rows.join(found, F.col("_key") == F.col("_at"), "left")
+        found = checkpointed(candidates(build_postings(rows, needed, key, text), rules, key).select(F.col(key).alias(at), F.col("rules").alias(named)))
+        few = found.count() <= BROADCAST_ROWS
+        rows = rows.join(F.broadcast(found) if few else found, F.col(key) == F.col(at), "left")
     else:
-        rows = rows.withColumn("_rules", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn(named, F.lit(None).cast("array<string>"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = []
     for i, rule in enumerate(rules):
         # for a single class a run of the least length is the same as a long enough run
         quick = rule.regex[:-1] + f"{{{rule.least},}}" if re.fullmatch(r"\[[^]]+\]\+", rule.regex) else rule.regex
-        chosen = F.array_contains("_rules", rule.name) if queries[rule.name] else F.lit(True)
-        parts.append(F.when(chosen & F.col("_text").rlike(quick), _matches(F.col("_text"), i, Rule(rule.name, quick, rule.group, rule.least))).otherwise(none))
+        chosen = F.array_contains(named, rule.name) if queries[rule.name] else F.lit(True)
+        parts.append(F.when(chosen & F.col(text).rlike(quick), _matches(F.col(text), i, Rule(rule.name, quick, rule.group, rule.least))).otherwise(none))
     rows = rows.withColumn(out, F.sort_array(F.concat(*parts)))
     return rows.select(*df.columns, out)
 
@@ -167,8 +176,12 @@ def scan_report(df: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replace every span by its kind in brackets; overlapping spans become one, named by the first."""
-    found = find_spans(df, out="_spans")
+    """Replace every span by its kind in brackets; overlapping spans become one, named by the first.
+
+    All rows and columns stay; a null text stays null.
+    """
+    (spans,) = fresh(df, "spans")
+    found = find_spans(df, text_col=text_col, out=spans)
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = F.array(*[F.lit(f"[{r.name}]") for r in RULES])
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
@@ -178,8 +191,8 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         more = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
         return F.struct(F.when(inside, acc["done"]).otherwise(more).alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_spans") == 0, F.col(text_col)).otherwise(clean)).drop("_spans")
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans) == 0, F.col(text_col)).otherwise(clean)).drop(spans)
 
 
 def _oracle() -> str:
