@@ -28,7 +28,7 @@ HIDDEN, WIDTH, BITS = 8, 8, 13
 GRAMS = (4, 6)
 #: Bounds of the training sample, in texts and in bytes: toxic ones, clean ones, and those of the calibration. Texts are
 #: taken whole, long or short, in the order of a hash, until a bound is met.
-SAMPLE = {"toxic": (2500, 5 << 20), "clean": (4000, 8 << 20), "calibration": (2000, 5 << 20)}
+SAMPLE = {"toxic": (2500, 4 << 20), "clean": (4000, 6 << 20), "calibration": (2000, 4 << 20)}
 #: Least steps of gradient descent, so that few labels are read often enough.
 STEPS = 300
 
@@ -106,17 +106,17 @@ class Network:
     def inputs(self, x: np.ndarray) -> np.ndarray:
         """Gate inputs of each word (forward then backward: update, reset, candidate); the last row, for padding, keeps the state."""
         g = x @ self.p["w"] + self.p["b"]
-        pad = np.zeros((1, 6 * HIDDEN), np.float32)
+        pad = np.zeros((1, 6 * HIDDEN), g.dtype)
         pad[0, :HIDDEN] = pad[0, 3 * HIDDEN : 4 * HIDDEN] = 30
-        return np.concatenate([g, pad]).astype(np.float32)
+        return np.concatenate([g, pad])
 
     def run(self, gates: np.ndarray, at: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Logit of each window; ``keep`` gets what the backward pass needs."""
         n, h = len(at), HIDDEN
-        states = np.empty((WINDOW, n, 2 * h), np.float32)
+        states = np.empty((WINDOW, n, 2 * h), gates.dtype)
         trail: list = [[], []]
         for way in (0, 1):
-            u, state = self.p["u"][way], np.zeros((n, h), np.float32)
+            u, state = self.p["u"][way], np.zeros((n, h), gates.dtype)
             for t in range(WINDOW) if way == 0 else range(WINDOW - 1, -1, -1):
                 x = gates[at[:, t], 3 * h * way : 3 * h * (way + 1)]
                 zr = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * h] + state @ u[:, : 2 * h]))
@@ -139,22 +139,22 @@ class Network:
         gates = self.inputs(self.vectors(words))
         return np.concatenate([self.run(gates, at[i : i + batch]) for i in range(0, len(at), batch)] or [np.zeros(0, np.float32)])
 
-    def step(self, words: Words, x: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One step on windows ``at``; x holds the vectors of all words before it."""
+    def gradients(self, words: Words, x: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted log loss on windows ``at``, by parameter; x holds the vectors of all words."""
         h, p = HIDDEN, self.p
         keep: list = []
         logit = self.run(self.inputs(x), at, keep)
         states, share, pooled, trail = keep
-        d = ((1 / (1 + np.exp(-logit)) - label) * weight / len(at)).astype(np.float32)
+        d = ((1 / (1 + np.exp(-logit)) - label) * weight / len(at)).astype(x.dtype)
         g = {"o": pooled.T @ d, "c": np.array([d.sum()]), "u": np.zeros_like(p["u"])}
         d_pooled = d[:, None] * p["o"]
         d_share = np.einsum("nh,tnh->tn", d_pooled, states)
         d_score = share * (d_share - (share * d_share).sum(0))
         g["v"] = np.einsum("tn,tnh->h", d_score, states)
         d_states = share[:, :, None] * d_pooled + d_score[:, :, None] * p["v"]
-        d_gate = np.zeros((len(at), WINDOW, 6 * h), np.float32)
+        d_gate = np.zeros((len(at), WINDOW, 6 * h), x.dtype)
         for way in (0, 1):
-            u, d_state = p["u"][way], np.zeros((len(at), h), np.float32)
+            u, d_state = p["u"][way], np.zeros((len(at), h), x.dtype)
             for t, before, z, r, back, c in reversed(trail[way]):
                 d_state = d_state + d_states[t, :, way * h : (way + 1) * h]
                 dc = d_state * (1 - z) * (1 - c * c)
@@ -167,7 +167,7 @@ class Network:
                 d_state = d_state * z + dzr @ u[:, : 2 * h].T + d_back @ u[:, 2 * h :].T
         real = at >= 0
         used, where = np.unique(at[real], return_inverse=True)
-        d_gates = np.zeros((len(used), 6 * h), np.float32)
+        d_gates = np.zeros((len(used), 6 * h), x.dtype)
         np.add.at(d_gates, where, d_gate[real])
         g["w"], g["b"] = x[used].T @ d_gates, d_gates.sum(0)
         d_x = d_gates @ p["w"].T
@@ -179,6 +179,12 @@ class Network:
             g[f"gram{n}"] = np.zeros_like(p[f"gram{n}"])
             part = d_x[:, WIDTH * (i + 1) : WIDTH * (i + 2)] / np.sqrt(np.maximum(own, 1))[:, None]
             np.add.at(g[f"gram{n}"], ids[place], np.repeat(part, own, axis=0))
+        return g
+
+    def step(self, words: Words, at: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        """One step of gradient descent on windows ``at``."""
+        p = self.p
+        g = self.gradients(words, self.vectors(words), at, label, weight)
         self.t += 1
         for k, v in g.items():
             v = v + 1e-5 * p[k]
@@ -246,7 +252,7 @@ def train(texts: list[str], labels: np.ndarray, calibration: tuple[list[str], np
             label = labels[text[own]]
             used = np.unique(at[own][at[own] >= 0])
             few = _only(words, used)
-            net.step(few, net.vectors(few), _renamed(at[own], used), label, heavy[text[own]], rate)
+            net.step(few, _renamed(at[own], used), label, heavy[text[own]], rate)
     held = Words(pa.array(calibration[0], pa.string()))
     at, text = held.windows()
     if len(text) and calibration[1].min() < calibration[1].max():
