@@ -66,16 +66,18 @@ def components_by_hand(rows, n, num, den):
             both = len(sets[i] & sets[j])
             if sets[i] and sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
                 up[top(i)] = top(j)
+    links = [sum(bool(i != j and a and b and den * len(a & b) >= num * len(a | b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     ids = {}
     for i, (k, *_) in enumerate(rows):
         ids.setdefault(top(i), []).append(k)
     smallest = {t: min((k for k in v if k is not None), default=None) for t, v in ids.items()}
-    return sorted(((k, len(sets[i]), smallest[top(i)]) for i, (k, *_) in enumerate(rows)), key=str)
+    return sorted(((k, len(sets[i]), smallest[top(i)] if sets[i] else k, links[i]) for i, (k, *_) in enumerate(rows)), key=str)
 
 
 @pytest.mark.parametrize("small", [16, 2])
 def test_jaccard_components(docs, empty, monkeypatch, small):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 16 // small)
+    monkeypatch.setattr(jaccard, "BLOCK", small)
     for n, num, den in ((4, 85, 100), (5, 80, 100)):
         found = jaccard.jaccard_components(docs, n=n, limit=jaccard.Threshold(num, den)).collect()
         assert sorted((tuple(r) for r in found), key=str) == components_by_hand(ROWS, n, num, den)
@@ -84,7 +86,7 @@ def test_jaccard_components(docs, empty, monkeypatch, small):
 
 def test_one_of_each_group_stays(docs):
     kept = jaccard.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len({c for _, _, c in components_by_hand(ROWS, 5, 80, 100)})
+    assert kept.columns == docs.columns and kept.count() == len({c for _, _, c, _ in components_by_hand(ROWS, 5, 80, 100)})
 
 
 def removed_by_hand(texts, window):
@@ -104,24 +106,66 @@ def removed_by_hand(texts, window):
     return out
 
 
-@pytest.mark.parametrize(("crowd", "pieces"), [(512, 4096), (3, 4096), (3, 2)])
-def test_repeats_are_removed(docs, empty, monkeypatch, crowd, pieces):
+@pytest.mark.parametrize(("crowd", "pieces", "keys"), [(512, 1024, 10**6), (3, 1024, 0), (3, 2, 10**6)])
+def test_repeats_are_removed(docs, empty, monkeypatch, crowd, pieces, keys):
     monkeypatch.setattr(suffix, "CROWD", crowd)
     monkeypatch.setattr(suffix, "PIECES", pieces)
+    monkeypatch.setattr(suffix, "BROADCAST_KEYS", keys)
     rows = [r for r in ROWS if len(r[1] or "") < 10_000]
     table = docs.where("coalesce(length(text), 0) < 10000")
     found = sorted((tuple(r) for r in suffix.dedup_report(table).collect()), key=str)
     assert found == sorted(((k, *x) for (k, *_), x in zip(rows, removed_by_hand([t for _, t, *_ in rows], 400))), key=str)
     assert suffix.dedup_report(empty).count() == 0
-    assert suffix.remove_repeats(table).columns == docs.columns
+
+
+def test_repeats_in_texts_longer_than_a_chunk(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(8))
+    long = "".join(word() for _ in range(90_000))
+    edge = suffix.CHUNK - 150  # a passage over the border of two parts, and copies of it elsewhere
+    texts = [long, long[edge : edge + 700] + word() * 3, "x" * 1000, word() * 2 + long[5:450], long[:300]]
+    seen = {}
+    raw = [t.encode() for t in texts]
+    for b in raw:
+        for i in range(len(b) - 399):
+            h = hash(b[i : i + 400])
+            seen[h] = seen.get(h, 0) + 1
+    gone = []
+    for b in raw:
+        d = np.zeros(len(b) + 1, np.int64)
+        for i in range(len(b) - 399):
+            if seen[hash(b[i : i + 400])] > 1:
+                d[i] += 1
+                d[i + 400] -= 1
+        gone.append(int((np.cumsum(d) > 0).sum()))
+    found = {r.doc_id: r for r in suffix.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i].n_removed for i in range(len(texts))] == gone == [700 + 445, 700, 1000, 445, 0]
+
+
+def test_repeats_are_cut_out_of_the_texts(spark):
+    columns = ["doc_id", "text", "whole", "key", "again", "ranges", "lost", "h", "_text"]
+    rows = [(1, "a" + PASSAGE, *columns[2:]), (2, PASSAGE, *columns[2:]), (2, PASSAGE, *columns[2:]), (3, None, *columns[2:]), (4, "é" * 300, *columns[2:])]
+    table = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} string" for c in columns[1:]))
+    out = suffix.remove_repeats(table)
+    assert out.columns == columns
+    cut = sorted((r.doc_id, r.text, *r[2:]) for r in out.na.fill("(null)", ["text"]).collect())
+    assert cut == sorted((i, t, *columns[2:]) for i, t in ((1, "a"), (2, ""), (2, ""), (3, "(null)"), (4, "")))
 
 
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(3)
-    for n, k in ((1, 1), (60, 1), (300, 2), (500, 4)):
-        text = rng.integers(0, k, n)
+    for n, k in ((1, 1), (60, 1), (300, 2), (500, 4), (90, 256)):
+        text = bytes(rng.integers(0, k, n).astype(np.uint8))
         array = suffix.two_stage_suffixes(text)
-        assert array.tolist() == sorted(range(n), key=lambda i: text[i:].tolist())
+        assert array.tolist() == sorted(range(n), key=lambda i: text[i:])
+        for depth in (1, 7, 40):
+            cut = suffix.two_stage_suffixes(text, depth)
+            assert [text[i : i + depth] for i in cut] == sorted(text[i : i + depth] for i in range(n))
+            both = [next((z for z in range(depth) if text[x + z : x + z + 1] != text[y + z : y + z + 1] or x + z >= n), depth) for x, y in zip(array, array[1:])]
+            assert suffix.adjacent_prefixes(text, array, depth).tolist() == [0, *both]
+        chosen = rng.random(n) < 0.2
+        some = suffix.two_stage_suffixes(text, None, chosen)
+        assert some[chosen[some]].tolist() == sorted(np.flatnonzero(chosen), key=lambda i: text[i:]) and len(set(some.tolist())) == len(some)
 
 
 def test_shards_are_even_and_gapless(docs, empty):
@@ -284,3 +328,100 @@ def test_audit_counts_queries_alike_and_a_failing_one_ends_in_all_pairs(spark, m
     found = {r.vec_id: r for r in neardup.near_duplicates(table).collect()}
     assert [found[i].n_links for i in range(1200)] == true.tolist()
     assert all(found[i].component_id == 0 for i in range(400)) and all(found[i + 1].component_id == i for i in range(400, 700, 2) if true[i])
+
+
+def test_network_equals_a_slow_forward_pass_and_its_gradients_are_right():
+    import pyarrow as pa
+
+    words = toxicity.Words(pa.array(["One mean idiotic word", "x " * 40 + "end", "", "mean mean"]))
+    at, text = words.windows()
+    assert len(at) == 5 and (at[text == 2] == -1).all() and (at[text == 1][1] >= 0).sum() == 25
+    net = toxicity.Network(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    h, width = toxicity.HIDDEN, toxicity.WIDTH
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def vector(j):
+        parts = [net.p["word"][words.word[j]]]
+        for n, (ids, counts) in zip(toxicity.GRAMS, words.grams):
+            own = ids[counts[:j].sum() : counts[: j + 1].sum()]
+            parts.append(sum((net.p[f"gram{n}"][i] for i in own), np.zeros(width)) / math.sqrt(max(1, len(own))))
+        return np.concatenate(parts)
+
+    def logit(window):
+        states = np.zeros((len(window), 2 * h))
+        for way in (0, 1):
+            state = np.zeros(h)
+            for t in range(len(window))[:: 1 - 2 * way]:
+                if window[t] >= 0:  # padding keeps the state
+                    g = (vector(window[t]) @ net.p["w"] + net.p["b"])[3 * h * way : 3 * h * way + 3 * h]
+                    u = net.p["u"][way]
+                    z = [sig(g[k] + state @ u[:, k]) for k in range(h)]
+                    r = [sig(g[h + k] + state @ u[:, h + k]) for k in range(h)]
+                    c = [math.tanh(g[2 * h + k] + r[k] * (state @ u[:, 2 * h + k])) for k in range(h)]
+                    state = np.array([z[k] * state[k] + (1 - z[k]) * c[k] for k in range(h)])
+                states[t, way * h : way * h + h] = state
+        score = np.array([states[t] @ net.p["v"] if w >= 0 else -1e4 for t, w in enumerate(window)])
+        share = np.exp(score - score.max())
+        return (share / share.sum()) @ states @ net.p["o"] + net.p["c"][0]
+
+    assert np.abs(net.logits(words, at) - [logit(w) for w in at]).max() < 1e-6
+    label, weight = np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 2, 1, 1, 0.5])
+
+    def loss():
+        v = net.logits(words, at)
+        return (weight * (np.log1p(np.exp(v)) - label * v)).mean()
+
+    found = net.gradients(words, net.vectors(words), at, label, weight)
+    rng = np.random.default_rng(0)
+    for name, p in net.p.items():
+        held = np.argwhere(np.abs(found[name]) > 1e-9)
+        for i in map(tuple, held[rng.permutation(len(held))[:8]]):
+            old, both = p[i], []
+            for move in (1e-5, -1e-5):
+                p[i] = old + move
+                both.append(loss())
+            p[i] = old
+            assert abs((both[0] - both[1]) / 2e-5 - found[name][i]) < 1e-7 + 1e-4 * abs(found[name][i]), name
+
+
+def test_toxicity_of_a_table_with_odd_rows(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(WORDS) for _ in range(30)) + (" scummy moron" if k % 3 == 0 else ""), "en", 0.5) for k in range(240)]
+    odd = [(None, "null id", None, None), (1000, None, "en", 1.0), (1001, "", "en", 1.0), (5, rows[5][1], "en", 0.5), (1002, "word " * 60_000 + "scummy moron", "en", 2.0)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)] + [(3, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels)
+    found = out.collect()
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and len(found) == len(rows) + len(odd)
+    by = {r.doc_id: r for r in found}
+    aside = [k for k in range(240) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all(by[k].held_out for k in aside) and not by[None].held_out and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    assert sum(by[k].predicted == int(k % 3 == 0) for k in aside) >= 0.9 * len(aside) and by[1002].predicted == 1
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in found if not r.predicted}
+
+
+def test_columns_that_clash_with_helpers_are_kept(spark):
+    names = ["_id", "_t", "_key", "_text", "_rank", "_spans", "named", "digest", "spans", "whole", "key", "rules", "at", "shard", "row", "own", "rank", "bucket", "k0", "before"]
+    rows = [(i, f"token = abcdef12{i} " + near(), *names) for i in range(6)] + [(6, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    rest = {tuple(names)}
+    for out in (jaccard.keep_one(docs), secrets.redact(docs), secrets.find_spans(docs, out="found").drop("found")):
+        assert out.columns == docs.columns and {tuple(r[2:]) for r in out.collect()} == rest
+    assert secrets.redact(docs).where("text like '[assign]%'").count() == 6
+    pieces = spark.createDataFrame([(1, 0, 5, 7, "a", "b"), (2, 0, 9, 8, "a", "b")], "doc_id long, piece int, length long, ids_crc32 long, rank string, bucket string")
+    assert {(r["rank"], r["bucket"]) for r in packing.pack(pieces, 16).collect()} == {("a", "b")}
+
+
+def test_shards_are_written_whole(spark, docs, tmp_path):
+    extra = docs.withColumn("shard", F.lit("mine")).withColumn("h_text", F.lit("x"))
+    shards.write_shards(extra, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert set(back.columns) == {*extra.columns, "_shard"} and back.where("shard = 'mine' and h_text = 'x'").count() == len(ROWS)
+    assert sorted((str(r.doc_id), str(r.text)) for r in back.collect()) == sorted((str(k), str(t)) for k, t, *_ in ROWS)
+    sizes = back.groupBy("_shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("s")).collect()
+    total = sum(r.s for r in sizes)
+    assert len(sizes) <= 4 and max(r.s for r in sizes) <= total / 4 + 70_008
+    own = {(str(r.doc_id), r["size"], r.text_crc32) for r in shards.shard_by_bytes(docs, 4).collect()}
+    assert own == {(str(k), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for k, t, *_ in ROWS}

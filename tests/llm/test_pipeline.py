@@ -56,7 +56,7 @@ def test_stages_equal_brute_force(spark, tmp_path, monkeypatch):
     corpus_pipeline.run(spark, str(tmp_path))
     rows = [r for r in docs if "poison" not in (r[1] or "")]
     assert stages["toxicity"] == sorted(rows, key=str)
-    keeps = {c for _, _, c in components_by_hand(rows, 5, 80, 100)}
+    keeps = {c for _, _, c, _ in components_by_hand(rows, 5, 80, 100)}
     rows = [r for r in rows if r[0] in keeps]
     assert stages["ngram_jaccard_join"] == sorted(rows, key=str)
     sized = lambda ids, new: [(i, t, None if t is None else len(t)) for i, t in zip(ids, new)]
