@@ -63,43 +63,52 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[list[tuple[int, int, int, int]]]:
-    """Per text: (anchor, content hash, first window start, number of starts), covering every window once."""
+def stretches(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> Iterator[list[tuple[int, ...]]]:
+    """Per text: (anchor, content hash, first start, number of starts, bytes), covering every window of the least length once.
 
-    def part(own: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in bounds[1:]]
-        if len(own) < window:
+    A stretch reaches from its first start to the end of the longest window at its last
+    one, or of the text.
+    """
+    short, long = lengths[0], lengths[-1]
+    view = memoryview(np.ascontiguousarray(data))
+
+    def part(begin: int, bounds: np.ndarray, ends: np.ndarray) -> list[list[tuple[int, ...]]]:
+        """Of the texts between ``bounds``, counted from ``begin``; ``ends`` are where their bytes end."""
+        own = data[begin : begin + bounds[-1]]
+        out: list[list[tuple[int, ...]]] = [[] for _ in bounds[1:]]
+        if len(own) < short:
             return out
         grams = gram_hashes(own, GRAM)
         low = np.uint64(2 * CHUNK - 1)
         packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-        at = (sliding_min(packed, window - GRAM + 1) & low).astype(np.int64)
+        at = (sliding_min(packed, short - GRAM + 1) & low).astype(np.int64)
         valid = np.zeros(len(at), dtype=bool)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            valid[a : max(a, b - window + 1)] = True
+            valid[a : max(a, b - short + 1)] = True
         new = valid.copy()
         new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
         end = valid.copy()
         end[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
-        starts, ends = np.flatnonzero(new), np.flatnonzero(end)
+        starts, lasts = np.flatnonzero(new), np.flatnonzero(end)
         anchors = grams[at[starts]].view(np.int64).tolist()
-        view = memoryview(np.ascontiguousarray(own))
         rows = np.searchsorted(bounds, starts, side="right") - 1
-        for anchor, s, e, row, base in zip(anchors, starts.tolist(), ends.tolist(), rows.tolist(), bounds[rows].tolist()):
-            content = int.from_bytes(hashlib.blake2b(view[s : e + window], digest_size=8).digest(), "little", signed=True)
-            out[row].append((anchor, content, s - base, e - s + 1))
+        stops = np.minimum(lasts + long + begin, ends[rows])
+        for anchor, s, e, stop, row, base in zip(anchors, starts.tolist(), lasts.tolist(), stops.tolist(), rows.tolist(), bounds[rows].tolist()):
+            content = int.from_bytes(hashlib.blake2b(view[s + begin : stop], digest_size=8).digest(), "little", signed=True)
+            out[row].append((anchor, content, s - base, e - s + 1, stop - s - begin))
         return out
 
     i = 0
     while i < len(offsets) - 1:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
-        if offsets[j] - offsets[i] <= CHUNK:
-            yield from part(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        first, last = int(offsets[i]), int(offsets[j])
+        if last - first <= CHUNK:
+            yield from part(first, offsets[i : j + 1] - first, offsets[i + 1 : j + 1])
         else:  # one long text: in parts whose windows do not overlap
             found = []
-            for a in range(int(offsets[i]), int(offsets[j]) - window + 1, CHUNK - window + 1):
-                own = data[a : min(a + CHUNK, int(offsets[j]))]
-                found += [(x, c, s + a - int(offsets[i]), n) for x, c, s, n in part(own, np.array([0, len(own)]))[0]]
+            for a in range(first, last - short + 1, CHUNK - short + 1):
+                own = part(a, np.array([0, min(CHUNK, last - a)]), np.array([last]))[0]
+                found += [(x, c, s + a - first, n, size) for x, c, s, n, size in own]
             yield found
         i = j
 
@@ -191,31 +200,40 @@ def adjacent_prefixes(text: bytes, array: np.ndarray, depth: int) -> np.ndarray:
     return np.minimum(out, depth)
 
 
-def repeated_starts(stretch_bytes: list[bytes], starts: list[int], window: int) -> list[np.ndarray]:
-    """For each stretch, whether the window at each of its starts also begins at a start of any stretch."""
+def repeated_starts(stretch_bytes: list[bytes], starts: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each length and stretch, whether the window of that length at each of its starts also begins at a start of any stretch.
+
+    Starts with fewer bytes before the stretch's end have no such window.
+    """
     text = END.join(stretch_bytes) + END
     bases = np.concatenate([[0], np.cumsum([len(b) + 1 for b in stretch_bytes])]).astype(np.int64).tolist()
     valid = np.zeros(len(text), dtype=bool)
-    for base, n in zip(bases, starts):
+    left = np.zeros(len(text), np.int64)
+    for base, n, own in zip(bases, starts, stretch_bytes):
         valid[base : base + n] = True
-    array = two_stage_suffixes(text, window, valid)
+        left[base : base + n] = len(own) - np.arange(n)
+    array = two_stage_suffixes(text, lengths[-1], valid)
     array = array[valid[array]]
-    # suffixes between two breaks of the prefixes share a window
-    group = np.cumsum(adjacent_prefixes(text, array, window) < window)
-    many = np.bincount(group) > 1
-    again = np.zeros(len(text), dtype=bool)
-    again[array] = many[group]
-    return [again[b : b + n] for b, n in zip(bases, starts)]
+    prefix = adjacent_prefixes(text, array, lengths[-1])
+    out = []
+    for length in lengths:
+        # suffixes between two breaks of the prefixes share a window
+        group, whole = np.cumsum(prefix < length), left[array] >= length
+        again = np.zeros(len(text), dtype=bool)
+        again[array] = (np.bincount(group, weights=whole) > 1)[group] & whole
+        out.append([again[b : b + n] for b, n in zip(bases, starts)])
+    return out
 
 
 def _runs(flags: np.ndarray, window: int, base: int) -> list[dict[str, int]]:
     """Byte ranges covered by the windows at flagged starts, the first of which is ``base``."""
     at = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return [{"a": int(a) + base, "b": int(b) - 1 + window + base} for a, b in zip(at[::2], at[1::2])]
+    return [{"a": int(a) + base, "b": int(b) - 1 + window + base, "w": window} for a, b in zip(at[::2], at[1::2])]
 
 
-RANGES = "array<struct<a:long,b:long>>"
-_RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+#: Ranges from a to b that windows of w bytes cover.
+RANGES = "array<struct<a:long,b:long,w:int>>"
+_RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("w", pa.int32())]))
 
 
 def _chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -225,35 +243,41 @@ def _chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys.select(F.xxhash64("key").alias("_h"))), F.xxhash64("key") == F.col("_h"), "left_semi")
 
 
-def repeated_ranges(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """(key, ranges) of texts with repeats, and (key, copies) of texts that occur again; ``rows`` has key (a digest of the text) and text."""
-    rows = rows.where(F.octet_length("text") >= window)
+def repeated_ranges(rows: DataFrame, lengths: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(key, ranges) of texts with repeats, and (key, copies) of texts that occur again; ``rows`` has key (a digest of the text) and text.
+
+    ``lengths`` rise; windows of all of them are found in one go, as equal windows start
+    with equal windows of the least length and so have the same anchor.
+    """
+    short, long = lengths[0], lengths[-1]
+    rows = rows.where(F.octet_length("text") >= short)
+    fields = ("anchor", "content", "start", "n", "size")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        kind = pa.list_(pa.struct([("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]))
+        kind = pa.list_(pa.struct([(f, pa.int64() if f in ("anchor", "content") else pa.int32()) for f in fields]))
         for part in slices(batches, "text", CHUNK):
             found = []
             keys = part.column("key").to_pylist()
-            for key, own in zip(keys, stretches(*text_buffers(part.column("text")), window)):
-                found.append(None if key in seen else [dict(zip(("anchor", "content", "start", "n"), s)) for s in own])
+            for key, own in zip(keys, stretches(*text_buffers(part.column("text")), lengths)):
+                found.append(None if key in seen else [dict(zip(fields, s)) for s in own])
                 seen.add(key)
             if len(seen) > 500_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, kind)], ["key", "found"])
 
-    indexed = checkpointed(rows.mapInArrow(index, "key binary, found array<struct<anchor:long,content:long,start:long,n:long>>"))
+    indexed = checkpointed(rows.mapInArrow(index, "key binary, found array<struct<anchor:long,content:long,start:int,n:int,size:int>>"))
     copies = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     all_stretches = indexed.select("key", F.inline("found"))
     # counts are checkpointed before they are joined, so that Spark can split an anchor that very many stretches share
     shared = checkpointed(all_stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
     # texts seen by two tasks give equal stretches twice, which is right: they are copies
     shared = checkpointed(all_stretches.join(shared, "anchor", "left_semi"))
-    distinct = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start", "n")).alias("at"))
+    distinct = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start", "n", "size")).alias("at"))
     distinct = checkpointed(distinct)
     crowd = checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     wanted = distinct.join(crowd, "anchor").select("anchor", "content", (F.col("m") > CROWD).alias("crowded"), "at.*")
-    wanted = checkpointed(wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "crowded", "start", "n")).alias("wanted")))
+    wanted = checkpointed(wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "crowded", "start", "n", "size")).alias("wanted")))
     # one copy of each text that is wanted
     texts = _chosen(rows, wanted).groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
 
@@ -264,17 +288,17 @@ def repeated_ranges(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
             for text, own in zip(*(part.column(c).to_pylist() for c in ("text", "wanted"))):
                 raw = text.encode()
                 for s in own:
-                    b = raw[s["start"] : s["start"] + s["n"] - 1 + window]
+                    b = raw[s["start"] : s["start"] + s["size"]]
                     if not s["crowded"]:
                         out.append((s["anchor"], s["content"], 0, s["n"], None, b))
                         continue
                     # starts are counted from the furthest that still holds the anchor, so that equal windows lie in pieces of one number
-                    grams = gram_hashes(np.frombuffer(b[:window], np.uint8), GRAM) & ~np.uint64(2 * CHUNK - 1)
-                    lead = window - GRAM - int(np.argmin(grams))
+                    grams = gram_hashes(np.frombuffer(b[:short], np.uint8), GRAM) & ~np.uint64(2 * CHUNK - 1)
+                    lead = short - GRAM - int(np.argmin(grams))
                     for q in range(lead // PIECE, (lead + s["n"] - 1) // PIECE + 1):
                         lo, hi = max(q * PIECE - lead, 0), min((q + 1) * PIECE - lead, s["n"])
-                        core = hashlib.blake2b(b[(q + 1) * PIECE - 1 - lead : q * PIECE + window - lead], digest_size=8, salt=str(q).encode()).digest()
-                        out.append((s["anchor"], s["content"], lo, hi - lo, int.from_bytes(core, "little", signed=True), b[lo : hi - 1 + window]))
+                        core = hashlib.blake2b(b[max((q + 1) * PIECE - 1 - lead, 0) : q * PIECE + short - lead], digest_size=8, salt=str(q).encode()).digest()
+                        out.append((s["anchor"], s["content"], lo, hi - lo, int.from_bytes(core, "little", signed=True), b[lo : hi - 1 + long]))
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*(pa.int64(),) * 5, pa.binary()))], names)
 
@@ -282,8 +306,8 @@ def repeated_ranges(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(own: list[tuple]) -> pa.RecordBatch:
-            flags = repeated_starts([x[5] for x in own], [x[3] for x in own], window)
-            kept = [(x[0], x[1], r) for x, f in zip(own, flags) if (r := _runs(f, window, x[2]))]
+            flags = repeated_starts([x[5] for x in own], [x[3] for x in own], lengths)
+            kept = [(x[0], x[1], r) for length, each in zip(lengths, flags) for x, f in zip(own, each) if (r := _runs(f, length, x[2]))]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), _RANGES))], ["anchor", "content", "ranges"])
 
         waiting: list[tuple] = []
@@ -300,24 +324,29 @@ def repeated_ranges(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(a, c, base, gram_hashes(np.frombuffer(b, np.uint8), window).view(np.int64)) for a, c, base, b in zip(*(batch.column(x).to_pylist() for x in ("anchor", "content", "base", "bytes")))]
-            counts = np.array([len(h) for *_, h in found], np.int64)
-            each = [pa.array(np.repeat(np.array([f[k] for f in found], np.int64), counts)) for k in (0, 1)]
-            at = np.concatenate([base + np.arange(len(h)) for _, _, base, h in found] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([*each, pa.array(at), pa.array(np.concatenate([h for *_, h in found] or [np.zeros(0, np.int64)]))], ["anchor", "content", "i", "window"])
+            found: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for anchor, content, base, n, raw in zip(*(batch.column(x).to_pylist() for x in ("anchor", "content", "base", "n", "bytes"))):
+                for length in lengths:
+                    h = gram_hashes(np.frombuffer(raw, np.uint8), length)[:n] if len(raw) >= length else np.zeros(0, np.uint64)
+                    for column, value in zip(found, (np.full(len(h), anchor), np.full(len(h), content), base + np.arange(len(h)), np.full(len(h), length), h.view(np.int64))):
+                        column.append(value.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)])) for c in found], ["anchor", "content", "i", "w", "window"])
 
     crowd = pieces.where("core is not null")
     sizes = crowd.groupBy("anchor", "core").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     crowd = crowd.join(sizes, ["anchor", "core"]).select(*pieces.columns, "c")
     few = pieces.where("core is null").unionByName(crowd.where(F.col("c") <= PIECES).drop("c"))
     few = few.repartition(shuffle_parts(rows), "anchor", "core").sortWithinPartitions("anchor", "core", "content", "base").mapInArrow(arrays, f"anchor long, content long, ranges {RANGES}")
-    each = crowd.where(F.col("c") > PIECES).drop("c").mapInArrow(windows, "anchor long, content long, i long, window long").distinct()
-    again = each.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "window")
-    many = each.join(again, ["anchor", "window"], "left_semi").groupBy("anchor", "content")
-    many = many.agg(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + window).alias("b"))).alias("ranges"))
-    whole = distinct.where("c > 1").select("anchor", "content", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("at.n") - 1 + window).alias("b"))).alias("ranges"))
+    each = crowd.where(F.col("c") > PIECES).drop("c").mapInArrow(windows, "anchor long, content long, i long, w long, window long").distinct()
+    again = each.groupBy("anchor", "w", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "w", "window")
+    many = each.join(again, ["anchor", "w", "window"], "left_semi").groupBy("anchor", "content")
+    many = many.agg(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + F.col("w")).alias("b"), F.col("w").cast("int").alias("w"))).alias("ranges"))
+    range_ = lambda b, w: F.struct(F.lit(0).cast("long").alias("a"), b.cast("long").alias("b"), F.lit(w).alias("w"))
+    # of stretches that occur again as a whole, all windows do
+    all_of = F.array(*[F.when(F.col("at.size") >= w, range_(F.least(F.col("at.n") - 1 + w, F.col("at.size")), w)) for w in lengths])
+    whole = distinct.where("c > 1").select("anchor", "content", F.array_compact(all_of).alias("ranges"))
     known = checkpointed(whole.unionByName(few).unionByName(many))
-    placed = shared.join(known, ["anchor", "content"]).select("key", F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b"))).alias("r"))
+    placed = shared.join(known, ["anchor", "content"]).select("key", F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b"), r["w"].alias("w"))).alias("r"))
     ranges = placed.groupBy("key").agg(F.flatten(F.collect_set("r")).alias("ranges"))
     return ranges, copies.where("copies > 1")
 
@@ -328,7 +357,7 @@ def _removed(text: str, copied: bool, ranges: list[dict[str, int]] | None, windo
     if copied and len(raw) >= window:
         return raw, [(0, len(raw))], b""
     merged: list[tuple[int, int]] = []
-    for r in sorted(ranges or [], key=lambda r: r["a"]):
+    for r in sorted((r for r in ranges or [] if r["w"] == window), key=lambda r: r["a"]):
         if merged and r["a"] <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(merged[-1][1], r["b"]))
         else:
@@ -340,11 +369,11 @@ def _removed(text: str, copied: bool, ranges: list[dict[str, int]] | None, windo
     return raw, merged, b"".join([*kept, raw[at:]])
 
 
-def with_repeats(df: DataFrame, window: int, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+def with_repeats(df: DataFrame, lengths: tuple[int, ...], text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """``df`` with three more columns, and their names: the text (never null), whether it occurs again as a whole, its repeated ranges."""
     text, key, again, ranges, lost = fresh(df, "whole", "key", "again", "ranges", "lost")
     rows = df.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(key, F.unhex(F.md5(F.col(text))))
-    found, copies = repeated_ranges(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), window)
+    found, copies = repeated_ranges(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), lengths)
     losses = found.join(copies, "key", "full").select(F.col("key").alias(lost), F.col("copies").isNotNull().alias(again), F.when(F.col("copies").isNull(), F.col("ranges")).alias(ranges))
     losses = checkpointed(losses)
     on = F.col(key) == F.col(lost)
@@ -358,31 +387,38 @@ def with_repeats(df: DataFrame, window: int, text_col: str = "text") -> tuple[Da
     return some.unionByName(others).drop(key), [text, again, ranges]
 
 
-def dedup_report(df: DataFrame, window: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+def dedup_report(df: DataFrame, window: int = 400, passage: int = 240) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage_bytes of every row.
 
     Removed is each byte covered by a string of ``window`` bytes that also starts
     elsewhere, in the same text or another; of rows that repeat, each is elsewhere to the
-    other. Null texts are empty; texts shorter than the window lose nothing. Equal texts
-    are found by a digest of 128 bits.
+    other. n_passage_bytes counts, with nothing removed for it, the bytes that strings of
+    ``passage`` bytes (at most ``window``) cover in the same way: passages of some fifty
+    words are shorter than the default window. Null texts are empty; texts shorter than
+    the window lose nothing. Equal texts are found by a digest of 128 bits.
     """
-    found, names = with_repeats(df.select("doc_id", "text"), window)
+    lengths = (passage, window) if passage < window else (window,)
+    found, names = with_repeats(df.select("doc_id", "text"), lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, names[0]):
-            rows = [_removed(*x, window) for x in zip(*(part.column(c).to_pylist() for c in names))]
+            rows = list(zip(*(part.column(c).to_pylist() for c in names)))
+            cut = [_removed(*x, window) for x in rows]
+            passages = [len(raw) - len(kept) for raw, _, kept in (_removed(*x, lengths[0]) if x[1] or x[2] else (b"", [], b"") for x in rows)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    pa.array([len(raw) for raw, _, _ in rows], pa.int64()),
-                    pa.array([len(raw) - len(kept) for raw, _, kept in rows], pa.int64()),
-                    pa.array([len(runs) for _, runs, _ in rows], pa.int64()),
-                    pa.array([hashlib.sha256(kept).hexdigest() for _, _, kept in rows], pa.string()),
+                    pa.array([len(raw) for raw, _, _ in cut], pa.int64()),
+                    pa.array([len(raw) - len(kept) for raw, _, kept in cut], pa.int64()),
+                    pa.array([len(runs) for _, runs, _ in cut], pa.int64()),
+                    pa.array([hashlib.sha256(kept).hexdigest() for _, _, kept in cut], pa.string()),
+                    pa.array(passages, pa.int64()),
                 ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"],
             )
 
-    return found.select("doc_id", *names).mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
+    return found.select("doc_id", *names).mapInArrow(run, schema)
 
 
 def remove_repeats(df: DataFrame, window: int = 400, text_col: str = "text") -> DataFrame:
@@ -391,7 +427,7 @@ def remove_repeats(df: DataFrame, window: int = 400, text_col: str = "text") ->
     All rows and columns stay, whatever the columns are called; a null text stays null.
     """
     columns = df.columns
-    found, names = with_repeats(df, window, text_col)
+    found, names = with_repeats(df, (window,), text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, names[0]):
