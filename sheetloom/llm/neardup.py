@@ -10,6 +10,7 @@ of seeds and refines again, and if it stays poor all pairs of vectors are compar
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ def _top(node: np.ndarray, other: np.ndarray, sim: np.ndarray, inside: np.ndarra
     node, other, sim, inside = (x[order] for x in (node, other, sim, inside))
     first = np.concatenate([[True], (node[1:] != node[:-1]) | (inside[1:] != inside[:-1])])[: len(node)]
     place = np.arange(len(node)) - np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))
-    return tuple(x[place < k] for x in (node, other, sim))
+    return tuple(x[place < k] for x in (node, other, sim, inside))
 
 
 def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,12 +85,17 @@ def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b), label) if a else (none, none, label)
 
 
-#: `joins` marks links that join components; the other rows are candidates for the lists.
-_EDGE = "node long, other long, sim double, joins boolean"
+#: `joins` marks links that join components; the other rows are candidates for the lists, inside a component or not.
+_EDGE = "node long, other long, sim double, inside boolean, joins boolean"
 
 
-def _edges(node, other, sim, joins: bool = False) -> pa.RecordBatch:  # noqa: ANN001
-    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x)) for x in (node, other, sim)), pa.array(np.full(len(node), joins))], ["node", "other", "sim", "joins"])
+def _edges(node, other, sim, inside, joins: bool = False) -> pa.RecordBatch:  # noqa: ANN001
+    flags = (np.broadcast_to(np.asarray(x, bool), len(node)) for x in (inside, joins))
+    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x)) for x in (node, other, sim)), *(pa.array(np.array(x)) for x in flags)], ["node", "other", "sim", "inside", "joins"])
+
+
+def _candidates(found: DataFrame) -> DataFrame:
+    return found.where("not joins").select("node", "other", "sim", "inside", F.lit(False).alias("old"))
 
 
 def seed_edges(points: DataFrame, k: int, trees: int, rows: int, first: int, least: float, leaf: int = 256) -> DataFrame:
@@ -130,28 +136,36 @@ def seed_edges(points: DataFrame, k: int, trees: int, rows: int, first: int, lea
                 sim = x @ x.T
                 np.fill_diagonal(sim, -2)
                 i, j, label = _forest(sim >= least)
-                yield _edges(ids[i], ids[j], sim[i, j], True)
+                yield _edges(ids[i], ids[j], sim[i, j], True, True)
                 inside = (root[:, None] == root) | (label[:, None] == label)
                 m = min(k, len(ids) - 1)
-                for part in (inside, ~inside) if m else ():
-                    own = np.where(part, sim, -2)
+                for within in (True, False) if m else ():
+                    own = np.where(inside == within, sim, -2)
                     best = np.argpartition(-own, m - 1, axis=1)[:, :m]
                     score = np.take_along_axis(own, best, 1)
                     found = score > -2
-                    yield _edges(np.repeat(ids, found.sum(1)), ids[best[found]], score[found])
+                    yield _edges(np.repeat(ids, found.sum(1)), ids[best[found]], score[found], within)
 
     return blocks.select("points").mapInArrow(join, _EDGE)
 
 
-def best_edges(edges: DataFrame, k: int, roots: DataFrame) -> DataFrame:
-    """(node, other, sim, inside): the k most similar different others of each node inside its component, and as many outside."""
-    best = edges.groupBy("node", "other").agg(F.max("sim").alias("sim"))
-    best = best.join(roots, "node", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("_o")), "other", "left")
-    best = best.select("node", "other", "sim", F.coalesce(F.col("root") == F.col("_o"), F.lit(False)).alias("inside"))
+def best_edges(edges: DataFrame, k: int) -> DataFrame:
+    """(node, other, sim, inside, old): the k most similar different others of each node inside its component, and as many outside.
+
+    ``edges`` has the same columns. They are dealt out by node once, for the merging of
+    equal ones and the ranking alike.
+    """
+    best = edges.repartition(shuffle_parts(edges), "node").groupBy("node", "other").agg(F.max("sim").alias("sim"), F.bool_or("inside").alias("inside"), F.bool_or("old").alias("old"))
     rank = F.row_number().over(Window.partitionBy("node", "inside").orderBy(F.desc("sim"), "other"))
     return best.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
+def placed_in(graph: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges of a graph, with ``inside`` as the components of ``roots`` (node, root) now say."""
+    rows = graph.drop("inside").join(roots, "node", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("_o")), "other", "left")
+    return rows.select("node", "other", "sim", F.coalesce(F.col("root") == F.col("_o"), F.lit(False)).alias("inside"), F.lit(True).alias("old"))
+
+
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) of the components after further links, for every node that links."""
     links = links.select(F.col("node").alias("a"), F.col("other").alias("b"))
@@ -172,7 +186,8 @@ def refine(graph: DataFrame, points: DataFrame, k: int, least: float) -> DataFra
     """
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim", "inside")
     rank = F.row_number().over(Window.partitionBy("node", "inside").orderBy(F.desc("sim"), "other"))
-    near = graph.unionByName(back).groupBy("node", "other", "inside").agg(F.max("sim").alias("sim")).withColumn("_r", rank).where(F.col("_r") <= 2 * k).select("node", "other")
+    both = graph.drop("old").unionByName(back).repartition(shuffle_parts(graph), "node")
+    near = both.groupBy("node", "other", "inside").agg(F.max("sim").alias("sim")).withColumn("_r", rank).where(F.col("_r") <= 2 * k).select("node", "other")
     part = lambda inside: F.col("inside") if inside else ~F.col("inside")
     worst = graph.groupBy("node").agg(*[F.when(F.count_if(part(x)) >= k, F.min(F.when(part(x), F.col("sim")))).otherwise(F.lit(-2.0)).alias(c) for c, x in (("worst", False), ("worst_in", True))])
     known = points.select("node", "root", "vec").join(worst, "node", "left").select(F.col("node").alias("other"), "root", "vec", *[F.coalesce(c, F.lit(-2.0)).alias(c) for c in ("worst", "worst_in")])
@@ -192,7 +207,7 @@ def refine(graph: DataFrame, points: DataFrame, k: int, least: float) -> DataFra
                     i, j = np.nonzero(sim > np.where(inside, worst_in[:, None], worst_[:, None]))
                     found.append((ids[i], ids[j], sim[i, j], inside[i, j]))
                     i, j, _ = _forest((sim >= least) & ~inside)
-                    links.append((ids[i], ids[j], sim[i, j]))
+                    links.append((ids[i], ids[j], sim[i, j], np.zeros(len(i), bool)))
             if found:
                 yield _edges(*_top(*(np.concatenate(c) for c in zip(*found)), k))
                 yield _edges(*(np.concatenate(c) for c in zip(*links)), True)
@@ -317,19 +332,28 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         found = checkpointed(seed_edges(start, k, more, n, seeds, least))
         seeds += more
         roots = merged(roots, found.where("joins"))
-        candidates = found.where("not joins").drop("joins")
-        graph = checkpointed(best_edges(candidates if graph is None else graph.select("node", "other", "sim").unionByName(candidates), k, roots))
-        for _ in range(rounds if attempt == 0 else 2):
-            found = checkpointed(refine(graph, rooted(points, roots), k, least))
-            joined = bool(found.where("joins").head(1))
-            roots = merged(roots, found.where("joins")) if joined else roots
-            better = checkpointed(best_edges(graph.select("node", "other", "sim").unionByName(found.where("not joins").drop("joins")), k, roots))
-            changed = better.join(graph, ["node", "other"], "left_anti").count()
-            graph = better
-            if changed <= 0.002 * n * k and not joined:
+        candidates = _candidates(found)
+        graph = checkpointed(best_edges(placed_in(candidates if graph is None else graph.drop("old").unionByName(candidates.drop("old")), roots), k))
+        for _ in range(rounds // 2 if attempt == 0 else 1):
+            # two rounds at a time over the same components, as merging them takes as long as several rounds
+            links, settled, seen = None, False, rooted(points, roots)
+            for _ in range(2):
+                found = checkpointed(refine(graph, seen, k, least))
+                links = found.where("joins") if links is None else links.unionByName(found.where("joins"))
+                graph = checkpointed(best_edges(graph.withColumn("old", F.lit(True)).unionByName(_candidates(found)), k))
+                settled = graph.where("not old").count() <= 0.002 * n * k
+                if settled:
+                    break
+            joined = bool(links.head(1))
+            if joined:
+                roots = merged(roots, links)
+                graph = checkpointed(best_edges(placed_in(graph, roots), k))
+            elif settled:
                 break
         counts = link_counts(points, roots, least)
-        if n <= 1 or audit(points, counts, least, k) >= recall:
+        got = audit(points, counts, least, k) if n > 1 else 1.0
+        logging.getLogger(__name__).info("recall %.3f after %d trees", got, seeds)
+        if got >= recall:
             break
     else:
         counts, roots = exact_links(points, least)
