@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
-def _head(speaker: Column, perspective: Column, context: tuple[str, ...]) -> Column:
-    return (
-        F.when(speaker.eqNullSafe(perspective), F.lit(f"{OPEN}assistant\n"))
-        .when(speaker.isin(*context), F.concat(F.lit(OPEN), speaker, F.lit("\n")))
-        .otherwise(F.concat(F.lit(f"{OPEN}user name="), F.coalesce(speaker, F.lit("unknown")), F.lit("\n")))
-    )
+def _named(speaker: Column, context: tuple[str, ...]) -> Column:
+    """How the turn of a speaker begins for everyone else."""
+    return F.when(speaker.isin(*context), F.concat(F.lit(OPEN), speaker, F.lit("\n"))).otherwise(F.concat(F.lit(f"{OPEN}user name="), F.coalesce(speaker, F.lit("unknown")), F.lit("\n")))
+
+
+OWN = f"{OPEN}assistant\n"
 
 
 def rotate_perspectives(
@@ -29,13 +29,14 @@ def rotate_perspectives(
     context: tuple[str, ...] = ("system",),
     block: int = 64,
 ) -> DataFrame:
-    """One row per conversation, participant and part of the dialogue.
+    """One rendering per conversation and participant, in rows of consecutive parts.
 
     Participants are the speakers other than ``context`` roles, which stay as they are;
     a turn without a speaker is a user named unknown and takes no perspective. A part
-    holds the turns whose numbers share ``floor(turn / block)``, so a long conversation
-    is rendered by many tasks; ``part_start`` is where the part begins in the whole
-    rendering. ``mask`` lists the spans to train on as start:end within the part (code
+    holds the turns whose numbers share ``floor(turn / block)``, so that no row and no task
+    has to hold a whole conversation, however long; the parts of a rendering, joined in
+    the order of ``part``, are the rendering. ``part_start`` is where a part begins in it,
+    and ``mask`` lists the spans to train on as start:end in the whole rendering (code
     points, end exclusive, the closing mark included). Turns are ordered by number,
     speaker and text, null first in the last two and last in the first; equal rows are
     all kept, null texts are empty, and ``<|`` inside texts and names is written ``< |``
@@ -44,25 +45,32 @@ def rotate_perspectives(
     """
     safe = lambda c: F.replace(c.cast("string"), F.lit("<|"), F.lit("< |"))
     rows = turns.select(
-        F.col(conv).alias("conv"),
+        F.struct(F.col(conv).alias("id")).alias("conv"),  # a struct is never null, so that null ids meet
         F.coalesce(F.floor(F.col(turn) / block), F.lit(2**62)).cast("long").alias("block"),
-        F.struct(
-            F.col(turn).isNull().alias("last"),
-            F.col(turn).alias("turn"),
-            safe(F.col(speaker)).alias("speaker"),
-            F.coalesce(safe(F.col(text)), F.lit("")).alias("text"),
-        ).alias("t"),
+        F.col(turn).alias("turn"),
+        safe(F.col(speaker)).alias("speaker"),
+        F.coalesce(safe(F.col(text)), F.lit("")).alias("text"),
     )
-    blocks = rows.groupBy("conv", "block").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    people = rows.select("conv", F.col("t.speaker").alias("perspective")).where(F.col("perspective").isNotNull() & ~F.col("perspective").isin(*context)).distinct()
-    people = people.withColumnRenamed("conv", "_conv")
-    said = blocks.join(people, F.col("conv").eqNullSafe(F.col("_conv"))).drop("_conv")
-    me = F.col("perspective")
-    parts = said.withColumn(
-        "pieces",
-        F.transform("turns", lambda t: F.struct(_head(t["speaker"], me, context).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), t["speaker"].eqNullSafe(me).alias("own"))),
+    # from lengths alone: where every part begins in each rendering
+    named = F.length(_named(F.col("speaker"), context))
+    lengths = rows.groupBy("conv", "block", "speaker").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(named + F.length("text") + len(CLOSE)).alias("length"), F.sum(len(OWN) - named).alias("more")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    speaks = F.col("speaker").isNotNull() & ~F.coalesce(F.col("speaker").isin(*context), F.lit(False))
+    people = rows.where(speaks).select("conv", F.col("speaker").alias("perspective")).distinct()
+    parts = lengths.groupBy("conv", "block").agg(F.sum("length").alias("length")).join(people, "conv")
+    own = lengths.where(speaks).select("conv", "block", F.col("speaker").alias("perspective"), "more")
+    parts = parts.join(own, ["conv", "block", "perspective"], "left").withColumn("length", F.col("length") + F.coalesce("more", F.lit(0)))
+    order = Window.partitionBy("conv", "perspective").orderBy("block")
+    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("conv", "block", "perspective", (F.row_number().over(order) - 1).alias("part"), F.coalesce(before, F.lit(0)).alias("part_start"))
+    # the texts move once, to their block
+    blocks = rows.groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "speaker", "text"))).alias("turns"))
+    said = blocks.join(parts, ["conv", "block"])
+    me = F.col("perspective")
+    head = lambda t: F.when(t["speaker"].eqNullSafe(me), F.lit(OWN)).otherwise(_named(t["speaker"], context))
+    pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), t["speaker"].eqNullSafe(me).alias("own")))
+    start = F.struct(F.col("part_start").alias("at"), F.array().cast("array<string>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.length(p["head"])
@@ -70,23 +78,14 @@ def rotate_perspectives(
         span = F.array(F.concat_ws(":", begin, end))
         return F.struct(end.alias("at"), F.when(p["own"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    parts = parts.select(
-        "conv",
+    return said.withColumn("pieces", pieces).select(
+        F.col("conv.id").alias(conv),
         "perspective",
-        "block",
+        "part",
+        "part_start",
         F.size("turns").alias("n_turns"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
-        F.aggregate("pieces", start, step).alias("m"),
-    )
-    order = Window.partitionBy("conv", "perspective").orderBy("block")
-    return parts.select(
-        F.col("conv").alias(conv),
-        "perspective",
-        (F.row_number().over(order) - 1).alias("part"),
-        F.coalesce(F.sum(F.col("m.at").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"),
-        "n_turns",
-        "text",
-        F.array_join("m.spans", ",").alias("mask"),
+        F.array_join(F.aggregate("pieces", start, step)["spans"], ",").alias("mask"),
     )
 
 
@@ -108,15 +107,9 @@ r AS (
   SELECT *, LENGTH(head) + LENGTH(body) AS len,
          ROW_NUMBER() OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS LAST, speaker NULLS FIRST, txt) AS rn
   FROM s),
-e AS (SELECT *, SUM(len) OVER (PARTITION BY conv_id, perspective, block ORDER BY rn) AS till FROM r),
-g AS (
-  SELECT conv_id, perspective, block, COUNT(*) AS n_turns, SUM(len) AS total,
-         STRING_AGG(head || body, '' ORDER BY rn) AS text,
-         COALESCE(STRING_AGG(CAST(till - LENGTH(body) AS BIGINT) || ':' || CAST(till AS BIGINT), ',' ORDER BY rn) FILTER (WHERE own), '') AS mask
-  FROM e GROUP BY 1, 2, 3)
-SELECT conv_id, perspective,
-       CAST(ROW_NUMBER() OVER w - 1 AS INTEGER) AS part,
-       CAST(COALESCE(SUM(total) OVER (PARTITION BY conv_id, perspective ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS part_start,
-       CAST(n_turns AS INTEGER) AS n_turns, text, mask
-FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY block)
+e AS (SELECT *, SUM(len) OVER (PARTITION BY conv_id, perspective ORDER BY block, rn) AS till FROM r)
+SELECT conv_id, perspective, CAST(DENSE_RANK() OVER (PARTITION BY conv_id, perspective ORDER BY block) - 1 AS INTEGER) AS part,
+       CAST(MIN(till - len) AS BIGINT) AS part_start, CAST(COUNT(*) AS INTEGER) AS n_turns, STRING_AGG(head || body, '' ORDER BY rn) AS text,
+       COALESCE(STRING_AGG(CAST(till - LENGTH(body) AS BIGINT) || ':' || CAST(till AS BIGINT), ',' ORDER BY rn) FILTER (WHERE own), '') AS mask
+FROM e GROUP BY conv_id, perspective, block
 """
