@@ -8,15 +8,13 @@ from ..plans import cut
 
 FIXTURE = """
 WITH k AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation),
-sets AS (
-  SELECT o_orderkey AS set_id,
-         1 + (o_orderkey % 3) AS n_rows,
-         1 + (CAST(FLOOR(o_orderkey / 3) AS BIGINT) % 3) AS n_cols
-  FROM orders WHERE o_orderkey % 10 = 0),
+sets AS (  -- every customer's orders are one set
+  SELECT o_custkey AS set_id, 1 + COUNT(*) % 3 AS n_rows, 1 + CAST(SUM(o_orderkey) AS BIGINT) % 3 AS n_cols
+  FROM orders GROUP BY o_custkey),
 pages AS (
   SELECT s.set_id, CAST(r.k * s.n_cols + c.k AS INT) AS page_idx,
          CAST(3000 AS BIGINT) AS width, CAST(2000 AS BIGINT) AS height,
-         CAST(CASE WHEN (r.k + c.k) % 2 = 0 THEN 0 ELSE 90 * (CAST(FLOOR(s.set_id / 10) AS BIGINT) % 4) END AS INT) AS rotation,
+         CAST(CASE WHEN (r.k + c.k) % 2 = 0 THEN 0 ELSE 90 * (s.set_id % 4) END AS INT) AS rotation,
          c.k * 2400 + (s.set_id * 7 + c.k * 13 + r.k * 5) % 50 AS ox,
          r.k * 1400 + (s.set_id * 3 + c.k * 11 + r.k * 17) % 40 AS oy
   FROM sets s JOIN k r ON r.k < s.n_rows JOIN k c ON c.k < s.n_cols),
@@ -75,10 +73,10 @@ text_boxes AS (
 pixels AS (
   SELECT set_id, page_idx, x, y, MIN(r) AS r, MIN(g) AS g, MIN(b) AS b FROM (
     SELECT p.set_id, p.page_idx,
-      (l.l_partkey * 7 + l.l_linenumber * 131 + k.k * 119) % 3000 AS x,
-      (l.l_suppkey * 61 + l.l_partkey * 3 + k.k * 79) % 2000 AS y,
-      CAST(l.l_quantity * 5 AS INT) AS r, CAST(l.l_quantity * 4 AS INT) AS g, CAST((l.l_quantity * 3 + k.k) % 255 AS INT) AS b
-    FROM lineitem l JOIN pages p ON p.set_id = l.l_orderkey CROSS JOIN k) z
+      (l.l_partkey * 7 + l.l_linenumber * 131 + l.l_orderkey * 119) % 3000 AS x,
+      (l.l_suppkey * 61 + l.l_partkey * 3 + l.l_orderkey * 79) % 2000 AS y,
+      CAST(l.l_quantity * 5 AS INT) AS r, CAST(l.l_quantity * 4 AS INT) AS g, CAST((l.l_quantity * 3 + l.l_orderkey) % 255 AS INT) AS b
+    FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN pages p ON p.set_id = o.o_custkey) z
   GROUP BY set_id, page_idx, x, y),
 overall_lines AS (
   SELECT set_id, text,
@@ -86,12 +84,12 @@ overall_lines AS (
     CASE WHEN ax = 'V' THEN d + 8 ELSE 16 END AS bx1, CASE WHEN ax = 'V' THEN 16 ELSE d + 8 END AS by1,
     CASE WHEN ax = 'V' THEN d ELSE 16 END AS gx0, CASE WHEN ax = 'V' THEN 16 ELSE d END AS gy0,
     CASE WHEN ax = 'V' THEN d ELSE 4000 END AS gx1, CASE WHEN ax = 'V' THEN 4000 ELSE d END AS gy1
-  FROM (SELECT set_id, text, ax, CASE WHEN set_id % 20 = 0 THEN CAST(pos / 2 AS BIGINT) ELSE CAST(pos / 4 AS BIGINT) END AS d FROM plan_lines) z),
+  FROM (SELECT set_id, text, ax, CASE WHEN set_id % 2 = 0 THEN CAST(pos / 2 AS BIGINT) ELSE CAST(pos / 4 AS BIGINT) END AS d FROM plan_lines) z),
 descriptors AS (
   SELECT CAST(label AS BIGINT) AS set_id, CAST(0 AS INT) AS page_idx, CAST(2 AS INT) AS stripe, vec_id AS kp_id,
     2400 + vec_id * 13 % 600 AS x, vec_id * 29 % 2000 AS y, embedding AS vec FROM embeddings
   UNION ALL
-  SELECT CAST(label AS BIGINT), 1, 1, vec_id, vec_id * 13 % 600, vec_id * 29 % 2000, embedding FROM embeddings WHERE vec_id % 2 = 0)
+  SELECT CAST(label AS BIGINT), 1, 1, vec_id, vec_id * 13 % 600, vec_id * 29 % 2000, embedding FROM embeddings)
 """
 #: The same, for statements with recursive parts.
 RECURSIVE = FIXTURE.replace("WITH k AS", "WITH RECURSIVE k AS", 1)

@@ -67,5 +67,10 @@ def ask(select: str, *parts: str) -> str:
     return ",".join([FIXTURE, *parts]) + "\n" + select
 
 
+def ask_recursive(select: str, *parts: str) -> str:
+    """The same where a part is recursive."""
+    return ",".join([RECURSIVE, *parts]) + "\n" + select
+
+
 def ask_tree(select: str, *parts: str) -> str:
     return ",".join([RECURSIVE, ORIENTED, UNIQUE, CROPS, POINTS, FITS, TREE, *parts]) + "\n" + select

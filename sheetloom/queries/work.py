@@ -9,7 +9,7 @@ from ..operators import anchor, bounds, clean, fit, match, ordering, points, ras
 from ..plans import anchored, keypoints
 from .fixture import FIXTURE, view
 from .lines import NAMED_PARTS, WIDTHS, crops, named_lines, oriented, shared_points
-from .sql import CROPS, FITS, ORIENTED, POINTS, UNIQUE, ask
+from .sql import CROPS, FITS, ORIENTED, POINTS, UNIQUE, ask, ask_recursive
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -186,12 +186,11 @@ def r5_needed_subimages(s: SparkSession, d: str) -> DataFrame:
 
 _CANDIDATES = """pc AS (SELECT a.set_id, a.page_idx AS i, b.page_idx AS j, rp.i IS NOT NULL AS placed FROM pages a JOIN pages b ON a.set_id = b.set_id AND a.page_idx < b.page_idx LEFT JOIN rp ON rp.set_id = a.set_id AND rp.i = a.page_idx AND rp.j = b.page_idx
   WHERE rp.i IS NOT NULL OR NOT EXISTS (SELECT 1 FROM gl WHERE gl.set_id = a.set_id AND gl.page_idx = a.page_idx) OR NOT EXISTS (SELECT 1 FROM gl WHERE gl.set_id = a.set_id AND gl.page_idx = b.page_idx))"""
-_SOME = "gl AS (SELECT DISTINCT set_id, page_idx FROM grid_lines WHERE (set_id + page_idx) % 13 <> 0)"
+_SOME = "gl AS (SELECT DISTINCT set_id, page_idx FROM grid_lines)"
 
 
 def _pair_candidates(s: SparkSession, d: str) -> DataFrame:
-    lines = view(s, d, "grid_lines").where((F.col("set_id") + F.col("page_idx")) % 13 != 0)
-    return match.page_pair_candidates(view(s, d, "pages"), _placed(s, d), lines)
+    return match.page_pair_candidates(view(s, d, "pages"), _placed(s, d), view(s, d, "grid_lines"))
 
 
 @query(ask("SELECT * FROM pc", *_PLACED, _SOME, _CANDIDATES))
@@ -393,7 +392,7 @@ def a4_select_scale(s: SparkSession, d: str) -> DataFrame:
 
 
 def _plan_pages(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "pages").select("set_id", F.lit(4000).cast("long").alias("width"), F.lit(4000).cast("long").alias("height")).distinct()
+    return view(s, d, "pages").select("set_id", F.lit(4000).cast("long").alias("width"), F.lit(4000).cast("long").alias("height"), F.lit(0).alias("rotation")).distinct()
 
 
 def _plan_crops(s: SparkSession, d: str) -> DataFrame:
@@ -457,16 +456,34 @@ def a8_usable_anchor_pairs(s: SparkSession, d: str) -> DataFrame:
     return _usable(s, d).select("set_id", "page_idx", "text_h", "text_v", "x", "y", "ax", "ay")
 
 
-@query(None)
+#: The pairs of each page one after the other, with the labels that were taken before.
+_GREEDY = """ur AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY set_id, page_idx ORDER BY text_h, text_v) AS rk FROM us),
+gr AS (SELECT set_id, page_idx, rk, true AS taken, [text_h, text_v] AS seen FROM ur WHERE rk = 1
+  UNION ALL SELECT u.set_id, u.page_idx, u.rk, NOT (list_contains(seen, u.text_h) OR list_contains(seen, u.text_v)), CASE WHEN list_contains(seen, u.text_h) OR list_contains(seen, u.text_v) THEN seen ELSE list_concat(seen, [u.text_h, u.text_v]) END
+  FROM gr JOIN ur u ON u.set_id = gr.set_id AND u.page_idx = gr.page_idx AND u.rk = gr.rk + 1),
+dj AS (SELECT set_id, page_idx, text_h, text_v, x, y, ax, ay FROM ur JOIN gr USING (set_id, page_idx, rk) WHERE taken)"""
+
+
+@query(ask_recursive("SELECT * FROM dj", *_ANCHORED, _GREEDY))
 def a8_disjoint_anchor_pairs(s: SparkSession, d: str) -> DataFrame:
     return anchor.disjoint_anchor_pairs(_usable(s, d))
 
 
-@query(None)
+#: The plans stand upright, so nothing turns; sheets are cropped to their lines.
+_SHEETS = """gc AS (SELECT p.set_id, p.page_idx, LEAST(GREATEST(MIN(LEAST(x_center - x_radius, gx0, gx1)), 0), ANY_VALUE(width)) AS gcx0, LEAST(GREATEST(MIN(LEAST(y_center - y_radius, gy0, gy1)), 0), ANY_VALUE(height)) AS gcy0,
+  LEAST(MAX(GREATEST(x_center + x_radius, gx0, gx1)), ANY_VALUE(width)) AS gcx1, LEAST(MAX(GREATEST(y_center + y_radius, gy0, gy1)), ANY_VALUE(height)) AS gcy1 FROM pl JOIN pages p USING (set_id, page_idx) GROUP BY ALL),
+rc AS (SELECT set_id, page_idx, CAST(ax - (x - gcx0) AS DOUBLE) AS x0, CAST(ay - (y - gcy0) AS DOUBLE) AS y0, gcx1 - gcx0 AS w, gcy1 - gcy0 AS h FROM dj JOIN gc USING (set_id, page_idx)),
+rn AS (SELECT set_id, page_idx, x0, y0, w, h, COUNT(*) AS n FROM rc GROUP BY ALL),
+rm AS (SELECT *, MAX(n) OVER p AS most, SUM(x0 * n) OVER p / SUM(n) OVER p AS mx0, SUM(y0 * n) OVER p / SUM(n) OVER p AS my0 FROM rn WINDOW p AS (PARTITION BY set_id, page_idx)),
+rv AS (SELECT set_id, page_idx, w, h, CASE WHEN COUNT(*) > 1 THEN ANY_VALUE(mx0) ELSE ANY_VALUE(x0) END AS x0, CASE WHEN COUNT(*) > 1 THEN ANY_VALUE(my0) ELSE ANY_VALUE(y0) END AS y0 FROM rm WHERE n = most GROUP BY set_id, page_idx, w, h)"""
+
+
+@query(ask_recursive("SELECT set_id, page_idx, ROUND(x0, 6) AS x0, ROUND(y0, 6) AS y0, ROUND(x0 + w, 6) AS x1, ROUND(y0 + h, 6) AS y1 FROM rv", ORIENTED, UNIQUE, _WIDEST.replace("FROM cleaned", "FROM oriented"), _PLAN, _HV, _GREEDY, _SHEETS))
 def w3_anchor_to_overall(s: SparkSession, d: str) -> DataFrame:
     """Every sheet's rectangle on its set's scaled overall plan."""
     overall = view(s, d, "overall_lines").withColumn("line_ord", F.lit(0))
-    return anchored.anchor_sheets(view(s, d, "pages"), view(s, d, "grid_lines"), overall, _plan_pages(s, d))[0]
+    rects = anchored.anchor_sheets(view(s, d, "pages"), view(s, d, "grid_lines"), overall, _plan_pages(s, d))[0]
+    return rects.select("set_id", "page_idx", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @query(None)
