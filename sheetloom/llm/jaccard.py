@@ -253,11 +253,12 @@ class BoxTree:
         return self.order[at[fits]]
 
 
-def _block_pairs(limit: Threshold):  # noqa: ANN202
+def _block_pairs(limit: Threshold, one: bool):  # noqa: ANN202
     """Pairs of a block of left members with a block of all members of one leaf, in different components and within the bounds.
 
-    Two left members meet in both directions, of which one counts. A pair that also
-    shares a leaf of a smaller key is left to that leaf; the members name their smallest.
+    With ``one``, only the best bound of each left member with each component. Two left
+    members meet in both directions, of which one counts. A pair that also shares a leaf of
+    a smaller key is left to that leaf; the members name their smallest.
     """
 
     def read(cell: pa.StructScalar) -> tuple:
@@ -272,7 +273,13 @@ def _block_pairs(limit: Threshold):  # noqa: ANN202
                 tree = BoxTree(nb, vb)
                 for i in range(len(fa)):
                     hits = tree.search(int(na[i]), va[i], limit)
-                    hits = hits[(rb[hits] != ra[i]) & (~mb[hits] | (fb[hits] > fa[i]))]
+                    hits = hits[rb[hits] != ra[i]]
+                    if one:
+                        hits = hits[np.argsort(-np.minimum(vb[hits], va[i]).sum(1), kind="stable")]
+                        hits = hits[np.unique(rb[hits], return_index=True)[1]]
+                        found += [(int(fa[i]), int(fb[j])) for j in hits]
+                        continue
+                    hits = hits[~mb[hits] | (fb[hits] > fa[i])]
                     found += [(int(fa[i]), int(fb[j])) for j in hits if not any(k < key for k in ka[i] & kb[j])]
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -329,6 +336,44 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, limit:
     return checkpointed(both.mapInArrow(run, "a long, b long"))
 
 
+def _rooted(x: DataFrame, c: str, roots: DataFrame) -> DataFrame:
+    """Add the component of column ``c``."""
+    near = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    return x.join(near, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    return _rooted(_rooted(pairs, "a", roots), "b", roots).where("ra <> rb").select("a", "b")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
+    if not links.head(1):
+        return roots
+    return checkpointed(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)))
+
+
+def _crossed(crowds: DataFrame, roots: DataFrame, reps: DataFrame, limit: Threshold, one: bool) -> DataFrame | None:
+    """Pairs of sets of a crowded leaf that lie in different components, within the bounds; None if no leaf has several."""
+    members = _rooted(crowds, "a", roots)
+    # in a leaf of several components, pairs inside its largest need no look
+    sizes = members.groupBy("key", "ra").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max_by("ra", F.struct("c", "ra")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "top")
+    members = checkpointed(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top"))
+    if not members.head(1):
+        return None
+    least = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("least"))  # at most a leaf per group of the set
+    point = reps.select(F.col("fp").alias("a"), "n", "vec").join(least, "a")
+    member = F.struct(F.col("a").alias("fp"), F.col("ra").alias("root"), "n", "minor", "vec", "least")
+
+    def blocks(of: DataFrame, name: str, size: int) -> DataFrame:
+        placed = dense_slots(of, ["key"], ["a"], "slot", spread=8).join(point, "a")
+        return placed.groupBy("key", F.floor(F.col("slot") / size).alias("block")).agg(F.collect_list(member).alias(name)).drop("block")
+
+    crossed = blocks(members.where("minor"), "left", 64).join(blocks(members, "right", 256), "key").mapInArrow(_block_pairs(limit, one), "a long, b long")
+    return crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _block_links(limit: Threshold):  # noqa: ANN202
     """Of two blocks of one component: how many rows of the right block each set of the left one links with."""
 
@@ -374,7 +419,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs without ASCII white space, A-Z lowered; a text of fewer than n words
     is one shingle, one without words (or null) is empty and its own component. Rows
     with equal sets are one point, so copies are never paired. First every set is paired
-    with the first set of one leaf; pairs whose sets are then still in different
+    with one first set of its leaves; pairs whose sets are then still in different
     components are checked too, all of them. Links are counted inside the components
     that come out, copies included; without ``links`` they are not counted. Null ids never
     name a component unless it has no other. Extra columns are left out.
@@ -384,37 +429,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = checkpointed(described_sets(rows, n))
     reps = checkpointed(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec", ignorenulls=True).alias("vec"), F.count(F.lit(1)).alias("copies")))
     leaves = leaf_rows(rows, n, limit).repartition(shuffle_parts(df), "key").sortWithinPartitions("key", "fp")
-    found = checkpointed(leaves.mapInArrow(_leaf_pairs, "kind tinyint, a long, b long, key long").distinct())
-    # at first each set with the smallest of its leaves' first sets, which copies of one text mostly share
-    stars = found.where("kind = 0").groupBy("a").agg(F.min("b").alias("b"))
-    links = _verified(_bounded_pairs(stars, reps, limit), reps, rows, n, limit)
-    roots = checkpointed(components(links))
-
-    def rooted(x: DataFrame, c: str) -> DataFrame:
-        near = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        return x.join(near, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-
-    apart = rooted(rooted(found.where("kind < 2").select("a", "b"), "a"), "b").where("ra <> rb").select("a", "b")
-    apart = _bounded_pairs(apart, reps, limit)
-    members = rooted(found.where("kind = 2").select("key", "a"), "a")
-    # in a leaf of several components, pairs inside its largest need no look
-    sizes = members.groupBy("key", "ra").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max_by("ra", F.struct("c", "ra")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "top")
-    members = checkpointed(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top"))
-    if members.head(1):
-        least = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("least"))  # at most a leaf per group of the set
-        point = reps.select(F.col("fp").alias("a"), "n", "vec").join(least, "a")
-        member = F.struct(F.col("a").alias("fp"), F.col("ra").alias("root"), "n", "minor", "vec", "least")
-
-        def blocks(of: DataFrame, name: str, size: int) -> DataFrame:
-            placed = dense_slots(of, ["key"], ["a"], "slot", spread=8).join(point, "a")
-            return placed.groupBy("key", F.floor(F.col("slot") / size).alias("block")).agg(F.collect_list(member).alias(name)).drop("block")
-
-        crossed = blocks(members.where("minor"), "left", 64).join(blocks(members, "right", 256), "key").mapInArrow(_block_pairs(limit), "a long, b long")
-        apart = apart.unionByName(crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
-    more = _verified(apart, reps, rows, n, limit)
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    final = checkpointed(components(edges).withColumnRenamed("node", "fp"))
+    found = leaves.mapInArrow(_leaf_pairs, "kind tinyint, a long, b long, key long")
+    found = checkpointed(found.groupBy("kind", "a", "b", "key").agg(F.count(F.lit(1)).alias("leaves")))
+    # at first each set with the one of its leaves' first sets that it shares most leaves with
+    stars = found.where("kind = 0").groupBy("a").agg(F.max_by("b", F.struct("leaves", "b")).alias("b"))
+    roots = checkpointed(components(_verified(_bounded_pairs(stars, reps, limit), reps, rows, n, limit)))
+    found_apart = _apart(found.where("kind < 2").select("a", "b"), roots)
+    roots = _joined(roots, _verified(_bounded_pairs(found_apart, reps, limit), reps, rows, n, limit))
+    crowds = found.where("kind = 2").select("key", "a")
+    # each set with the most alike of every other component first, so that what is left to compare in full is little
+    for one in (True, False):
+        crossed = _crossed(crowds, roots, reps, limit, one)
+        if crossed is None:
+            break
+        roots = _joined(roots, _verified(crossed, reps, rows, n, limit))
+    final = roots.withColumnRenamed("node", "fp")
     final = final.unionByName(final.select(F.col("root").alias("fp"), "root").distinct())  # a root is no node there
     named = reps.select("fp", "id", "copies").join(final, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
