@@ -362,8 +362,11 @@ def _crossed(crowds: DataFrame, roots: DataFrame, reps: DataFrame, limit: Thresh
     members = checkpointed(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top"))
     if not members.head(1):
         return None
-    least = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("least"))  # at most a leaf per group of the set
-    point = reps.select(F.col("fp").alias("a"), "n", "vec").join(least, "a")
+    point = reps.select(F.col("fp").alias("a"), "n", "vec")
+    if one:
+        point = point.withColumn("least", F.array().cast("array<long>"))  # not asked for
+    else:
+        point = point.join(members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("least")), "a")  # at most a leaf per group of the set
     member = F.struct(F.col("a").alias("fp"), F.col("ra").alias("root"), "n", "minor", "vec", "least")
 
     def blocks(of: DataFrame, name: str, size: int) -> DataFrame:
