@@ -2,7 +2,8 @@
 
 Toxic documents are rejected, one document of each near-duplicate group stays, repeated
 passages are cut out, secrets are replaced by their kind, and what is left is packed into
-training sequences.
+training sequences. Every stage takes null and empty texts, repeated rows and ids, null ids,
+empty tables and any further columns; all but the last keep the columns.
 """
 
 from __future__ import annotations
@@ -27,27 +28,39 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scoring one half or more go; the network learns from the labelled ones."""
+    """Documents scoring one half or more go; the network learns from the labelled ones.
+
+    Null and empty texts are scored like others; equal texts get equal scores.
+    """
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by chains of links (five-word shingles, Jaccard of at least 0.8), the one with the smallest doc_id stays."""
+    """Of documents joined by chains of links (five-word shingles, Jaccard of at least 0.8), the one with the smallest doc_id stays.
+
+    Texts without words are groups of their own and stay; of equal rows one stays.
+    """
     return jaccard.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte of a string of PASSAGE bytes that starts anywhere else goes."""
+    """Every byte of a string of PASSAGE bytes that starts anywhere else goes.
+
+    All rows stay, with an empty text where all of it repeats; null texts stay null.
+    """
     return _sized(suffix.remove_repeats(docs, PASSAGE))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of secrets become their kind in brackets."""
+    """Spans of secrets become their kind in brackets; all rows stay, null texts null."""
     return _sized(secrets.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in sequences; a null or empty text is one token, its end."""
+    """Pieces of at most 1024 tokens and their places in sequences; a null or empty text is one token, its end.
+
+    Rows that are alike are packed each on its own.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
