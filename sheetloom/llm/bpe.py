@@ -178,7 +178,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded",
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and hashes of the ids and of the decoded text, for every row of documents."""
+    """doc_id, n_tokens, and hashes of the ids and of the decoded text, for every row of documents.
+
+    A null or empty text has no ids and decodes to an empty one; rows that repeat are
+    encoded each on its own, and null ids are kept. Texts are cut nowhere, however long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(path)
