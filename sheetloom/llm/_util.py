@@ -64,11 +64,12 @@ def dense_slots(df: DataFrame, keys: list[str], order: list[str], out: str, spre
 def paired_blocks(blocks: DataFrame, key: str, parts: str, block: str, content: str) -> DataFrame:
     """(left, right): every block of a key with every block of it, itself included, both ways.
 
-    ``parts`` is the number of the key's blocks. The blocks of a large key meet in a grid
-    of about as many cells as there are shuffle partitions, so no task gets all of them.
+    ``parts`` is the number of the key's blocks. They meet in a grid of about as many cells
+    as the key has blocks, at most as there are shuffle partitions, so no task gets all of a
+    large key and each block is sent to no more cells than that needs.
     """
     most = int(np.ceil(np.sqrt(shuffle_parts(blocks))))
-    several = blocks.where(F.col(parts) > 1).withColumn("grid", F.least(F.col(parts), F.lit(most)).cast("long"))
+    several = blocks.where(F.col(parts) > 1).withColumn("grid", F.least(F.ceil(F.sqrt(parts)), F.lit(most)).cast("long"))
     several = several.select(F.col(key).alias("key"), "grid", (F.col(block) % F.col("grid")).alias("cell"), F.col(content).alias("own"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid") - 1))
     left = several.select("key", F.col("cell").alias("r"), others.alias("c"), F.col("own").alias("left"))

@@ -253,12 +253,11 @@ class BoxTree:
         return self.order[at[fits]]
 
 
-def _block_pairs(limit: Threshold, one: bool):  # noqa: ANN202
+def _block_pairs(limit: Threshold):  # noqa: ANN202
     """Pairs of a block of left members with a block of all members of one leaf, in different components and within the bounds.
 
-    With ``one``, only the best bound of each left member with each component. Two left
-    members meet in both directions, of which one counts. A pair that also shares a leaf of
-    a smaller key is left to that leaf; the members name their smallest.
+    Two left members meet in both directions, of which one counts. A pair that also
+    shares a leaf of a smaller key is left to that leaf; the members name their smallest.
     """
 
     def read(cell: pa.StructScalar) -> tuple:
@@ -273,13 +272,7 @@ def _block_pairs(limit: Threshold, one: bool):  # noqa: ANN202
                 tree = BoxTree(nb, vb)
                 for i in range(len(fa)):
                     hits = tree.search(int(na[i]), va[i], limit)
-                    hits = hits[rb[hits] != ra[i]]
-                    if one:
-                        hits = hits[np.argsort(-np.minimum(vb[hits], va[i]).sum(1), kind="stable")]
-                        hits = hits[np.unique(rb[hits], return_index=True)[1]]
-                        found += [(int(fa[i]), int(fb[j])) for j in hits]
-                        continue
-                    hits = hits[~mb[hits] | (fb[hits] > fa[i])]
+                    hits = hits[(rb[hits] != ra[i]) & (~mb[hits] | (fb[hits] > fa[i]))]
                     found += [(int(fa[i]), int(fb[j])) for j in hits if not any(k < key for k in ka[i] & kb[j])]
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -353,27 +346,44 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)))
 
 
-def _crossed(crowds: DataFrame, roots: DataFrame, reps: DataFrame, limit: Threshold, one: bool) -> DataFrame | None:
-    """Pairs of sets of a crowded leaf that lie in different components, within the bounds; None if no leaf has several."""
+def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after further links, by one step: each component takes the label of one that it links with.
+
+    Equal labels are surely joined, but not all that is joined has equal labels.
+    """
+    to = _rooted(_rooted(links, "a", roots), "b", roots).where("ra <> rb").groupBy("ra").agg(F.min("rb").alias("rb"))
+    to = checkpointed(to)
+    known = roots.join(to, F.col("root") == F.col("ra"), "left").select("node", F.coalesce("rb", "root").alias("root"))
+    return checkpointed(known.unionByName(to.select(F.col("ra").alias("node"), F.col("rb").alias("root"))))
+
+
+def _mixed(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, a, ra, minor): members of crowded leaves with several components; minor are those outside the leaf's largest."""
     members = _rooted(crowds, "a", roots)
-    # in a leaf of several components, pairs inside its largest need no look
+    # pairs inside the largest need no look
     sizes = members.groupBy("key", "ra").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("ra", F.struct("c", "ra")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "top")
-    members = checkpointed(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top"))
-    if not members.head(1):
-        return None
-    point = reps.select(F.col("fp").alias("a"), "n", "vec")
-    if one:
-        point = point.withColumn("least", F.array().cast("array<long>"))  # not asked for
-    else:
-        point = point.join(members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("least")), "a")  # at most a leaf per group of the set
+    return checkpointed(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top"))
+
+
+def _to_largest(members: DataFrame) -> DataFrame:
+    """Pairs of each minor member of a leaf with four members of its largest component."""
+    spread = F.xxhash64("a")
+    four = F.array(F.min("a"), F.max("a"), F.min_by("a", spread), F.max_by("a", spread))
+    return members.where("minor").join(members.where("not minor").groupBy("key").agg(four.alias("b")), "key").select("a", F.explode("b").alias("b"))
+
+
+def _crossed(members: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
+    """All pairs of sets of a leaf that lie in different components, within the bounds."""
+    least = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("least"))  # at most a leaf per group of the set
+    point = reps.select(F.col("fp").alias("a"), "n", "vec").join(least, "a")
     member = F.struct(F.col("a").alias("fp"), F.col("ra").alias("root"), "n", "minor", "vec", "least")
 
     def blocks(of: DataFrame, name: str, size: int) -> DataFrame:
         placed = dense_slots(of, ["key"], ["a"], "slot", spread=8).join(point, "a")
         return placed.groupBy("key", F.floor(F.col("slot") / size).alias("block")).agg(F.collect_list(member).alias(name)).drop("block")
 
-    crossed = blocks(members.where("minor"), "left", 64).join(blocks(members, "right", 256), "key").mapInArrow(_block_pairs(limit, one), "a long, b long")
+    crossed = blocks(members.where("minor"), "left", 64).join(blocks(members, "right", 256), "key").mapInArrow(_block_pairs(limit), "a long, b long")
     return crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -436,16 +446,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = checkpointed(found.groupBy("kind", "a", "b", "key").agg(F.count(F.lit(1)).alias("leaves")))
     # at first each set with the one of its leaves' first sets that it shares most leaves with
     stars = found.where("kind = 0").groupBy("a").agg(F.max_by("b", F.struct("leaves", "b")).alias("b"))
-    roots = checkpointed(components(_verified(_bounded_pairs(stars, reps, limit), reps, rows, n, limit)))
-    found_apart = _apart(found.where("kind < 2").select("a", "b"), roots)
-    roots = _joined(roots, _verified(_bounded_pairs(found_apart, reps, limit), reps, rows, n, limit))
+    stars = _verified(_bounded_pairs(stars, reps, limit), reps, rows, n, limit)
+    # labels from one step of these links: equal labels are surely joined
+    others = _apart(found.where("kind < 2").select("a", "b"), stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+    others = _verified(_bounded_pairs(others, reps, limit), reps, rows, n, limit)
+    roots = checkpointed(components(stars.unionByName(others)))
     crowds = found.where("kind = 2").select("key", "a")
-    # each set with the most alike of every other component first, so that what is left to compare in full is little
-    for one in (True, False):
-        crossed = _crossed(crowds, roots, reps, limit, one)
-        if crossed is None:
-            break
-        roots = _joined(roots, _verified(crossed, reps, rows, n, limit))
+    members = _mixed(crowds, roots)
+    if members.head(1):
+        # with a few of the largest component first, so that what is left to compare in full is little
+        near = _verified(_bounded_pairs(_to_largest(members), reps, limit), reps, rows, n, limit)
+        members = _mixed(crowds, _moved(roots, near))
+        far = _verified(_crossed(members, reps, limit), reps, rows, n, limit)
+        roots = _joined(roots, near.unionByName(far))
     final = roots.withColumnRenamed("node", "fp")
     final = final.unionByName(final.select(F.col("root").alias("fp"), "root").distinct())  # a root is no node there
     named = reps.select("fp", "id", "copies").join(final, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
