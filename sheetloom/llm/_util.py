@@ -78,6 +78,11 @@ def paired_blocks(blocks: DataFrame, key: str, parts: str, block: str, content:
     return left.join(right, ["key", "r", "c"]).select("left", "right").unionByName(single)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """An eighth of the shuffle partitions, for rows of a few bytes about documents of kilobytes."""
+    return df.coalesce(max(1, shuffle_parts(df) // 8))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in one array, and the offset of each text; null texts are empty."""
     column = pc.fill_null(column.cast(pa.string()), "")
@@ -118,7 +123,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     def tidy(e: DataFrame) -> DataFrame:
         e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        return checkpointed(e.where("u > v").distinct())
+        return checkpointed(compact(e.where("u > v").distinct()))
 
     now = tidy(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
     mark = None

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import WHITE, checkpointed, components, dense_slots, fresh, paired_blocks, shuffle_parts, slices, text_buffers
+from ._util import WHITE, checkpointed, compact, components, dense_slots, fresh, paired_blocks, shuffle_parts, slices, text_buffers
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 COORDINATES = 128
@@ -313,7 +313,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, limit:
 
     Texts are read again for the documents named, so no set is stored.
     """
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(compact(pairs.distinct()))
     named = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     sets = _sets_named(checkpointed(named.join(reps, "fp").select("fp", F.col("id").alias("_id"))), rows, n)
 
@@ -352,7 +352,7 @@ def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
     Equal labels are surely joined, but not all that is joined has equal labels.
     """
     to = _rooted(_rooted(links, "a", roots), "b", roots).where("ra <> rb").groupBy("ra").agg(F.min("rb").alias("rb"))
-    to = checkpointed(to)
+    to = checkpointed(compact(to))
     known = roots.join(to, F.col("root") == F.col("ra"), "left").select("node", F.coalesce("rb", "root").alias("root"))
     return checkpointed(known.unionByName(to.select(F.col("ra").alias("node"), F.col("rb").alias("root"))))
 
@@ -363,7 +363,7 @@ def _mixed(crowds: DataFrame, roots: DataFrame) -> DataFrame:
     # pairs inside the largest need no look
     sizes = members.groupBy("key", "ra").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("ra", F.struct("c", "ra")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "top")
-    return checkpointed(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top"))
+    return checkpointed(compact(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top")))
 
 
 def _to_largest(members: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def _crossed(members: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame
         return placed.groupBy("key", F.floor(F.col("slot") / size).alias("block")).agg(F.collect_list(member).alias(name)).drop("block")
 
     crossed = blocks(members.where("minor"), "left", 64).join(blocks(members, "right", 256), "key").mapInArrow(_block_pairs(limit), "a long, b long")
-    return crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _block_links(limit: Threshold):  # noqa: ANN202
