@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, neardup, packing, quality, secrets, shards, suffix, toxicity
+from . import bpe, chat, jaccard, merkle, neardup, packing, quality, secrets, shards, suffix, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_near_dedup,
         op9_best_fit_packing,
         op10_secret_scans,
+        op11_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op4_quality_rules": quality.ORACLE, "op10_secret_scans": secrets.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op4_quality_rules": quality.ORACLE, "op10_secret_scans": secrets.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
