@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, merkle, neardup, packing, quality, secrets, shards, suffix, toxicity, whitening
+from . import bpe, chat, jaccard, merkle, mixing, neardup, packing, quality, secrets, shards, suffix, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scans,
         op11_merkle_manifest,
         op12_embedding_whitening,
+        op13_source_mixing,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op4_quality_rules": quality.ORACLE, "op10_secret_scans": secrets.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
