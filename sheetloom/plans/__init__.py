@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a table that several later steps read."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back, for rounds that join a table with itself.
+
+    A checkpoint hands on the estimated size of its plan, which every such join squares; a table
+    that is read has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rounds-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Hand-made cases: quirks, ties, gaps and broken input."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,87 @@ def test_tree_of_disconnected_sets_keeps_the_smallest_page(spark):
     assert [(r.parent, r.child) for r in graph.stitch_sequence(edges).orderBy("seq").collect()] == [(0, 2), (0, 5)]
 
 
+def forest_by_hand(edges):
+    up, kept = {}, []
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for w, i, j in sorted((w, i, j) for i, j, w in edges):
+        if top(i) != top(j):
+            up[top(i)] = top(j)
+            kept.append((i, j, w))
+    return kept
+
+
+def sequence_by_hand(tree):
+    near = {}
+    for i, j, _ in tree:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+    depth, queue, out = {min(near): 0}, [min(near)], []
+    for page in queue:
+        for other in sorted(near[page]):
+            if other not in depth:
+                depth[other] = depth[page] + 1
+                queue.append(other)
+                out.append((page, other, depth[other]))
+    return out
+
+
+def graphs():
+    """Chains, stars, random and disconnected graphs, with many equal weights."""
+    rng = random.Random(5)
+    chain = list(range(60))
+    rng.shuffle(chain)
+    yield 1, [(min(a, b), max(a, b), 0.5) for a, b in zip(chain, chain[1:])]
+    yield 2, [(min(7, k), max(7, k), 1.0 / (k % 3 + 1)) for k in range(40) if k != 7]
+    for n in range(3, 9):
+        edges = {(i, j): rng.randint(1, 4) / 4 for i, j in (sorted(rng.sample(range(n * 6), 2)) for _ in range(n * 9))}
+        yield n, [(i, j, w) for (i, j), w in edges.items()]
+    yield 9, [(4, 9, 1.0)]
+
+
+def test_trees_and_walks_of_graphs(spark):
+    sets = dict(graphs())
+    edges = spark.createDataFrame([(n, *e) for n, own in sets.items() for e in own], "set_id long, i int, j int, weight double")
+    want = {n: forest_by_hand(own) for n, own in sets.items()}
+    assert {(r.set_id, r.i, r.j, r.weight) for r in graph.spanning_forest(edges).collect()} == {(n, *e) for n, own in want.items() for e in own}
+    found = sorted((r.set_id, r.seq, r.parent, r.child, r.depth) for r in graph.stitch_sequence(edges).collect())
+    assert found == [(n, k, *row) for n, own in sorted(want.items()) for k, row in enumerate(sequence_by_hand(own))]
+    assert graph.spanning_forest(edges.limit(0)).count() == 0 and graph.stitch_sequence(edges.limit(0)).count() == 0
+
+
+def test_turned_and_scaled_transforms_are_composed(spark):
+    rng = random.Random(6)
+    pairs, sequence, want = [], [], {}
+    for n in range(3):
+        placed = {0: (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)}
+        for k in range(1, 40):
+            parent = k - 1 if n == 0 else rng.randrange(k)
+            turn, scale = rng.choice([(1, 0), (0, 1), (-1, 0), (0, -1)]), rng.choice([1.0, 1.0, 2.0, 0.5])
+            a, c = turn[0] * scale, turn[1] * scale
+            h = (a, -c, float(rng.randint(-50, 50)), c, a, float(rng.randint(-50, 50)))
+            sequence.append((n, k - 1, parent, k, 1 if parent == 0 else 2))
+            if n == 2 and k == 20:  # no transform is known for this page, so its children start anew
+                continue
+            back = rng.random() < 0.5
+            det = h[0] * h[4] - h[1] * h[3]
+            inverse = (h[4] / det, -h[1] / det, (h[1] * h[5] - h[4] * h[2]) / det, -h[3] / det, h[0] / det, (h[3] * h[2] - h[0] * h[5]) / det)
+            pairs.append((n, parent, k, *inverse) if back else (n, k, parent, *h))
+            p = placed.get(parent, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))
+            placed[k] = (p[0] * h[0] + p[1] * h[3], p[0] * h[1] + p[1] * h[4], p[0] * h[2] + p[1] * h[5] + p[2], p[3] * h[0] + p[4] * h[3], p[3] * h[1] + p[4] * h[4], p[3] * h[2] + p[4] * h[5] + p[5])
+        dx, dy = (min(0.0, *(p[k] for p in placed.values())) for k in (2, 5))
+        want |= {(n, k): (p[0], p[1], p[2] - dx, p[3], p[4], p[5] - dy) for k, p in placed.items()}
+    found = graph.compose_placements(
+        spark.createDataFrame(sequence, "set_id long, seq int, parent int, child int, depth int"), spark.createDataFrame(pairs, "set_id long, i int, j int, a double, b double, tx double, c double, d double, ty double")
+    )
+    got = {(r.set_id, r.page_idx): (r.a, r.b, r.tx, r.c, r.d, r.ty) for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(x - y) <= 1e-6 * max(1, abs(y)) for k in want for x, y in zip(got[k], want[k]))
+
+
 def test_inclined_lines(spark):
     box = lambda *v: [F.lit(x) for x in v]
     row = spark.range(1).select(
