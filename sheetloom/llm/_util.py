@@ -61,23 +61,6 @@ def dense_slots(df: DataFrame, keys: list[str], order: list[str], out: str, spre
     )
 
 
-def ordered_slots(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
-    """Number the rows of each key from 0 without gaps, in ascending order (null first); the result is checkpointed.
-
-    Rows are sorted in ranges of (key, order) over all tasks, rows alike in these by row
-    number, so that neither a large key nor many equal rows meet in one task, and are numbered by
-    their place in the range and the rows of their key in the ranges before it.
-    """
-    place, tie, piece, first, count = fresh(df, "place", "tie", "piece", "first", "count")
-    ranges = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(key, *order, tie).drop(tie)
-    ranges = checkpointed(ranges.withColumn(place, F.monotonically_increasing_id()))
-    ranges = ranges.withColumn(piece, F.shiftright(place, 33))
-    sizes = ranges.groupBy(key, piece).agg(F.min(place).alias(first), F.count(F.lit(1)).alias(count))
-    ahead = Window.partitionBy(key).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn(count, F.coalesce(F.sum(count).over(ahead), F.lit(0)))
-    return ranges.join(sizes, [key, piece]).withColumn(out, F.col(place) - F.col(first) + F.col(count)).drop(place, piece, first, count)
-
-
 def paired_blocks(blocks: DataFrame, key: str, parts: str, block: str, content: str) -> DataFrame:
     """(left, right): every block of a key with every block of it, itself included, both ways.
 

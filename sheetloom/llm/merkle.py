@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import checkpointed, fresh, ordered_slots
+from ..operators.numbering import ordered_slots
+from ._util import checkpointed, fresh
 
 HEX, FANOUT = 64, 16
 SPAN = FANOUT * FANOUT
@@ -64,24 +65,31 @@ def climb(nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
         nodes = blocks.where(F.col("n") > SPAN).select("tree", F.col("block").alias("pos"), F.col("top").alias("node"), F.ceil(F.col("n") / SPAN).alias("n"), F.lit(None).cast("string").alias("own"))
 
 
-def descend(rounds: list[DataFrame]) -> DataFrame:
-    """(tree, pos, node, own, path) of every leaf: path holds the flanks met on each level up to the tree's root."""
-    none = F.array().cast("array<struct<left:string,right:string>>")
-    above = None
+NONE = "array<struct<left:string,right:string>>"
+
+
+def descend(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+    """(tree, pos, node, own, path, subroot) of every leaf: path holds the flanks met on each level up to the root.
+
+    ``above`` has the path and the subroot from which each tree goes on; a tree's last block takes
+    them up and hands them down, block by block, so no join is on trees alone but of such blocks.
+    """
+    none = F.array().cast(NONE)
+    found = None
     for blocks in reversed(rounds):
-        if above is None:
-            blocks = blocks.withColumn("upper", none)
-        else:
-            blocks = blocks.join(above.select("tree", F.col("pos").alias("block"), F.col("path").alias("upper")), ["tree", "block"], "left")
-        each = blocks.select("tree", "n", "level0", "level1", "upper", F.explode("members").alias("m"))
+        upper = blocks.where(F.col("n") <= SPAN).join(above.select("tree", F.col("path").alias("upper"), "subroot"), "tree")
+        if found is not None:
+            on = found.select("tree", F.col("pos").alias("block"), F.col("path").alias("upper"), "subroot")
+            upper = upper.unionByName(blocks.where(F.col("n") > SPAN).join(on, ["tree", "block"]))
+        each = upper.select("tree", "n", "level0", "level1", "upper", "subroot", F.explode("members").alias("m"))
         at = F.col("m.pos") % SPAN
         path = F.concat(
             F.when(F.col("n") > 1, F.array(_flanks("level0", at))).otherwise(none),
             F.when(F.col("n") > FANOUT, F.array(_flanks("level1", F.floor(at / FANOUT)))).otherwise(none),
-            F.coalesce("upper", none),
+            F.col("upper"),
         )
-        above = each.select("tree", "m.pos", "m.node", "m.own", path.alias("path"))
-    return above
+        found = each.select("tree", "m.pos", "m.node", "m.own", path.alias("path"), "subroot")
+    return found
 
 
 def fold(path: str, leaf: Column) -> Column:
@@ -101,20 +109,19 @@ def manifest(df: DataFrame, fields: tuple[str, ...] = FIELDS, tree_by: str = "so
     """
     tree = F.coalesce(F.concat(F.lit("1"), F.col(tree_by).cast("string")), F.lit("0"))
     rows = df.select(tree.alias("tree"), F.col(order).alias("at"), leaf_hash([F.col(c) for c in fields]).alias("node"), F.struct(F.col(order).alias("id"), *[c.alias(k) for k, c in carried.items()]).alias("own"))
-    rows = ordered_slots(rows, "tree", ["at", "node"], "pos")
-    sizes = checkpointed(rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")))
-    most, trees = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
-    rounds, subroots = climb(rows.join(sizes, "tree"), most or 0)
-    subroots = ordered_slots(subroots.withColumnRenamed("tree", "own").withColumn("tree", F.lit("")), "tree", ["own"], "pos")
-    tops, roots = climb(subroots.select("tree", "pos", F.col("root").alias("node"), F.lit(trees).alias("n"), "own"), trees)
+    rows = checkpointed(ordered_slots(rows, ["tree"], ["at", "node"], "pos", "n"))
+    rounds, subroots = climb(rows, rows.agg(F.max("n")).first()[0] or 0)
+    subroots = checkpointed(ordered_slots(subroots.select("tree", F.col("root").alias("node"), F.lit("").alias("all")), ["all"], ["tree"], "pos", "n"))
+    trees = subroots.count()
+    tops, roots = climb(subroots.select(F.col("all").alias("tree"), "pos", "node", "n", F.col("tree").alias("own")), trees)
     root = roots.first()
-    above = descend(tops).select(F.col("own").alias("tree"), F.col("node").alias("subroot"), F.col("path").alias("upper"))
-    found = descend(rounds).join(above, "tree")
+    above = descend(tops, df.sparkSession.createDataFrame([("", [], None)], f"tree string, path {NONE}, subroot string"))
+    found = descend(rounds, above.select(F.col("own").alias("tree"), "path", F.col("node").alias("subroot")))
     return found.select(
         F.col("own.id").alias(order),
         F.col("node").alias("leaf"),
         *[F.col(f"own.{k}").alias(k) for k in carried],
-        F.concat("path", "upper").alias("path"),
+        "path",
         "subroot",
         F.lit(root["root"] if root else None).cast("string").alias("root"),
     )

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._util import checkpointed, dense_slots, fresh, ordered_slots
+from ..operators.numbering import ordered_slots
+from ._util import checkpointed, dense_slots, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHARES = (1, 2, 3)
@@ -51,7 +52,7 @@ def source_targets(rows: DataFrame, shares: Sequence[float] = SHARES, repeats: i
     weight, until none is above. Each round brings two sums to the driver.
     """
     sources = rows.groupBy("key").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(0))
-    sources = ordered_slots(sources, "one", ["key"], "rank").drop("one")
+    sources = ordered_slots(sources, ["one"], ["key"], "rank").drop("one")
     weight = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), (F.col("rank") % len(shares)).cast("int") + 1)
     sources = checkpointed(sources.withColumn("weight", weight))
     most = F.col("source_size").cast("double") * repeats
