@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,34 +90,29 @@ def parse_grid_name(text: Column) -> Column:
     return F.struct(F.lower(part(1)).alias("l"), whole.alias("n"), decimal.alias("d"))
 
 
-def longest_increasing(keys: list) -> list[int]:
-    """Places of one longest strictly increasing subsequence."""
-    from bisect import bisect_left
+_NAME = "struct<l:string,n:bigint,d:double>"
+
 
-    ends: list = []
-    at: list[int] = []
-    before = [-1] * len(keys)
-    for i, key in enumerate(keys):
-        k = bisect_left(ends, key)
-        before[i] = at[k - 1] if k else -1
-        if k == len(ends):
-            ends.append(key)
-            at.append(i)
-        else:
-            ends[k], at[k] = key, i
-    out = []
-    i = at[-1] if at else -1
-    while i >= 0:
-        out.append(i)
-        i = before[i]
-    return out[::-1]
+def _longest_run(names: Column, falling: bool) -> Column:
+    """Places of one longest strictly rising (falling) subsequence.
+
+    A fold keeps, for every length, the run with the least last name (``ends``), and for every
+    name the place before it in its run; of equally long runs the one that ends last is kept.
+    """
+    start = F.struct(F.array().cast(f"array<struct<name:{_NAME},at:int>>").alias("ends"), F.array().cast("array<int>").alias("before"))
 
+    def step(acc: Column, name: Column) -> Column:
+        ends = acc["ends"]
+        k = F.size(F.filter(ends, lambda e: e["name"] > name if falling else e["name"] < name))
+        own = F.array(F.struct(name.alias("name"), F.size(acc["before"]).alias("at")))
+        return F.struct(F.concat(F.slice(ends, 1, k), own, F.slice(ends, k + 2, F.size(ends))).alias("ends"), F.array_append(acc["before"], F.coalesce(F.get(ends, k - 1)["at"], F.lit(-1))).alias("before"))
 
-class _Falling(tuple):
-    """A key that compares the other way round."""
+    def walk_back(acc: Column) -> Column:
+        last = F.struct(F.element_at(acc["ends"], -1)["at"].alias("at"), F.array().cast("array<int>").alias("run"))
+        back = lambda own, _: F.struct(F.get(acc["before"], own["at"]).alias("at"), F.concat(F.array(own["at"]), own["run"]).alias("run"))
+        return F.aggregate(acc["ends"], last, back, lambda own: own["run"])
 
-    def __lt__(self, other: tuple) -> bool:
-        return tuple(self) > tuple(other)
+    return F.aggregate(names, start, step, walk_back)
 
 
 def keep_monotone_names(lines: DataFrame) -> DataFrame:
@@ -128,25 +120,14 @@ def keep_monotone_names(lines: DataFrame) -> DataFrame:
 
     ``lines`` comes from split_by_axis. Of the longest rising and the longest falling
     run the rising one is taken only if it is longer; name_idx counts along the run and
-    name_rank by name. A page's lines of an axis travel as one small array, many pages
-    to a batch.
+    name_rank by name. A page's lines of an axis are one small array.
     """
-    named = lines.where("axis <> 'O'").select(*PAGE, "axis", F.struct("axis_pos", parse_grid_name(F.col("text")).alias("name"), F.when(F.col("axis") == "V", F.col("gx0")).otherwise(F.col("gy0")).alias("coord"), "text").alias("line"))
+    named = lines.where("axis <> 'O'").select(*PAGE, "axis", F.struct("axis_pos", parse_grid_name(F.col("text")).cast(_NAME).alias("name"), F.when(F.col("axis") == "V", F.col("gx0")).otherwise(F.col("gy0")).alias("coord"), "text").alias("line"))
     pages = named.groupBy(*PAGE, "axis").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for page in batch.column("lines").to_pylist():
-                keys = [(x["name"]["l"], x["name"]["n"], x["name"]["d"]) for x in page]
-                up, down = longest_increasing(keys), longest_increasing([_Falling(k) for k in keys])
-                kept.append(up if len(up) > len(down) else down)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.int32()))], [*batch.schema.names, "kept"])
-
-    from pyspark.sql import types as T
-
-    chosen = pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("kept", T.ArrayType(T.IntegerType()))]))
-    rows = chosen.select(*PAGE, "axis", "lines", F.posexplode("kept").alias("name_idx", "_at")).withColumn("line", F.get("lines", F.col("_at")))
+    names = F.transform("lines", lambda x: x["name"])
+    pages = pages.withColumns({"_up": _longest_run(names, False), "_down": _longest_run(names, True)})
+    kept = F.when(F.size("_up") > F.size("_down"), F.col("_up")).otherwise(F.col("_down"))
+    rows = pages.select(*PAGE, "axis", "lines", F.posexplode(kept).alias("name_idx", "_at")).withColumn("line", F.get("lines", F.col("_at")))
     order = Window.partitionBy(*PAGE, "axis").orderBy("name", "name_idx")
     rows = rows.select(*PAGE, "axis", F.col("line.text").alias("text"), F.col("line.name").alias("name"), "name_idx", F.col("line.coord").alias("coord"))
     return rows.withColumn("name_rank", (F.row_number().over(order) - 1).cast("int"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import page_rects_overlap
@@ -52,6 +54,79 @@ def fit_robust(matched: DataFrame, threshold: float = 3.0, keys: list[str] | Non
     return fit_similarity(vote_inliers(matched, threshold, keys), keys)
 
 
+#: Cells of turn in a full circle, and of the logarithm of scale in a unit.
+TURN_CELLS, SCALE_CELLS = 314, 50
+
+
+def _densest(rows: DataFrame, keys: list[str], cells: tuple[Column, Column], means: tuple[str, str], around: int | None = None) -> DataFrame:
+    """Per key the means of two columns over the cell with most rows, of a grid and its copies moved by half a cell; the least cell wins a tie."""
+    moved = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (0.0, 0.5) for q in (0.0, 0.5)]))
+    rows = rows.select(*keys, *means, cells[0].alias("_u"), cells[1].alias("_v"), moved.alias("_o"))
+    first = F.floor(F.col("_u") + F.col("_o.p"))
+    rows = rows.withColumns({"_r": F.pmod(first, F.lit(around)) if around else first, "_s": F.floor(F.col("_v") + F.col("_o.q"))})
+    votes = rows.groupBy(*keys, "_o", "_r", "_s").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(m).alias(m) for m in means])
+    place = F.struct("_n", -F.col("_o.p"), -F.col("_o.q"), -F.col("_r"), -F.col("_s"))
+    return votes.groupBy(*keys).agg(F.max_by(F.struct(*means), place).alias("_m")).select(*keys, "_m.*")
+
+
+def _linear(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The least-squares similarity of each key, not rounded: u = a x - c y + tx, v = c x + a y + ty."""
+    x, y, u, v = (F.col(k) for k in ("x", "y", "to_x", "to_y"))
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[e.alias(f"s{k}") for k, e in enumerate(_similarity(x, y, u, v))])
+    n, sx, sy, su, sv, dot, cross, square = (F.col(k) for k in ("n", *(f"s{k}" for k in range(7))))
+    size = F.nullif(n * square - sx * sx - sy * sy, F.lit(0.0))
+    sums = sums.withColumns({"a": (n * dot - sx * su - sy * sv) / size, "c": (n * cross - sx * sv + sy * su) / size})
+    shift = {"tx": (su - F.col("a") * sx + F.col("c") * sy) / n, "ty": (sv - F.col("c") * sx - F.col("a") * sy) / n}
+    return sums.where("a is not null").select(*keys, "n", "a", "c", *[e.alias(k) for k, e in shift.items()])
+
+
+def _residual() -> Column:
+    across = F.col("to_x") - (F.col("a") * F.col("x") - F.col("c") * F.col("y") + F.col("tx"))
+    down = F.col("to_y") - (F.col("c") * F.col("x") + F.col("a") * F.col("y") + F.col("ty"))
+    return F.sqrt(across * across + down * down)
+
+
+def turned_inliers(matched: DataFrame, threshold: float = 3.0, keys: list[str] | None = None, partners: int = 8) -> DataFrame:
+    """Matches within ``threshold`` of the similarity, turned and scaled in any way, that most pairs of their key's matches agree on; ``rot`` is its turn in degrees.
+
+    Every match is paired with the ``partners`` next to it in the order of a hash, so pairs grow
+    with matches and not with their square. A pair of points at least ten thresholds apart votes for a cell of turn and
+    logarithm of scale; under the mean of the best cell every match votes for a cell of shifts.
+    What lies in the best one is fitted by least squares, and matches are held against that fit, twice.
+    Keys without such a pair, one point or points that coincide, have no inliers.
+    """
+    keys = keys or PAIR
+    place = ["x", "y", "to_x", "to_y"]
+    rows = matched.withColumns({c: F.col(c).cast("double") for c in place})
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*place), *place)
+    near = F.array(*[F.lead(F.struct(*place), k).over(order) for k in range(1, partners + 1)])
+    pairs = rows.select(*keys, *place, near.alias("near")).select(*keys, *place, F.explode("near").alias("o")).where("o is not null")
+    dx, dy, ex, ey = (F.col(f"o.{c}") - F.col(c) for c in place)
+    pairs = pairs.select(*keys, dx.alias("dx"), dy.alias("dy"), ex.alias("ex"), ey.alias("ey"), (dx * dx + dy * dy).alias("size")).where(F.col("size") >= (10 * threshold) ** 2)
+    pairs = pairs.select(*keys, ((F.col("dx") * F.col("ex") + F.col("dy") * F.col("ey")) / F.col("size")).alias("a"), ((F.col("dx") * F.col("ey") - F.col("dy") * F.col("ex")) / F.col("size")).alias("c")).where("a <> 0 or c <> 0")
+    turn, scale = F.atan2("c", "a") * (TURN_CELLS / (2 * math.pi)), F.log(F.col("a") * F.col("a") + F.col("c") * F.col("c")) * (SCALE_CELLS / 2)
+    motion = _densest(pairs, keys, (turn, scale), ("a", "c"), TURN_CELLS)
+    # shifts are taken at the middle of the points, where an error of the turn moves them least
+    middle = rows.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    x, y = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    moved = rows.join(motion, keys).join(middle, keys).withColumns({"sx": F.col("to_x") - F.col("a") * x + F.col("c") * y, "sy": F.col("to_y") - F.col("c") * x - F.col("a") * y})
+    width = 4 * threshold
+    shift = _densest(moved, keys, (F.col("sx") / width, F.col("sy") / width), ("sx", "sy"))
+    close = moved.join(shift.select(*keys, F.col("sx").alias("bx"), F.col("sy").alias("by")), keys).where((F.abs(F.col("sx") - F.col("bx")) <= width) & (F.abs(F.col("sy") - F.col("by")) <= width))
+    for _ in range(2):
+        motion = _linear(close, keys).drop("n")
+        close = rows.join(motion, keys).where(_residual() <= threshold)
+    return close.withColumn("rot", F.degrees(F.atan2("c", "a"))).drop("a", "c", "tx", "ty")
+
+
+def fit_turned(matched: DataFrame, threshold: float = 3.0, keys: list[str] | None = None) -> DataFrame:
+    """Affine columns a..ty, n and rot (degrees) of the similarity over the turned inliers of each key, not rounded."""
+    keys = keys or PAIR
+    a, c = F.col("a"), F.col("c")
+    found = _linear(turned_inliers(matched, threshold, keys), keys)
+    return found.select(*keys, "n", "a", (-c).alias("b"), "tx", "c", a.alias("d"), "ty", F.degrees(F.atan2("c", "a")).alias("rot"))
+
+
 def gate_and_score_grid(
     fits: DataFrame,
     crops: DataFrame,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fix_coords_line, line_intersection, line_v_h_intersection, scale_bbox_by_bbox
+from ..plans import cut
 from .bounds import CROP
 from .clean import GRID, PAGE
 
@@ -17,7 +18,7 @@ def grid_points(lines: DataFrame, crops: DataFrame, both_orders: bool = False) -
     text_b, or with both_orders twice.
     """
     shifted = scale_bbox_by_bbox([F.col(c) for c in CROP], [F.col(c) for c in GRID])
-    rows = lines.join(crops.select(*PAGE, *CROP), PAGE).select(*PAGE, "text", *[c.alias(n) for n, c in zip(GRID, shifted)])
+    rows = cut(lines.join(crops.select(*PAGE, *CROP), PAGE).select(*PAGE, "text", *[c.alias(n) for n, c in zip(GRID, shifted)]))
     upright, flat = F.col("gx0") == F.col("gx1"), F.col("gy0") == F.col("gy1")
     rows = rows.withColumn("axis", F.when(flat, "H").when(upright, "V").otherwise("O"))
     h, v = rows.where("axis = 'H'"), rows.where("axis = 'V'")

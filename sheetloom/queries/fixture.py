@@ -97,6 +97,7 @@ _BASE = ("nation", "orders", "lineitem", "embeddings")
 
 
 _READY: dict[tuple[str, str, str], DataFrame] = {}
+_NAMED: dict[str, tuple[str, str]] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,9 +106,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Each is worked out once a session and checkpointed, so that queries start from a
     table as they would in use, not from the text that makes it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _READY:
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir, name)
+    if _NAMED.get("base") != (app, sf_dir):  # the base tables' names are those of the folder asked for last
         for table in _BASE:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        _NAMED["base"] = (app, sf_dir)
+    if key not in _READY:
         _READY[key] = cut(spark.sql(f"{FIXTURE} SELECT * FROM {name}"))
     return _READY[key]

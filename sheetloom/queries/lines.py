@@ -244,6 +244,26 @@ def tidy(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) + 0.0 for c in fit.AFFINE})
 
 
+#: The points of a set of embeddings, and where a known turn and scale moves them; every third one is elsewhere.
+_TURNED = """tp AS (SELECT *, RADIANS(15e0 * (set_id % 24)) AS turn, 1e0 + (set_id % 3) / 2e0 AS scale, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS out
+  FROM (SELECT vec_id, CAST(label AS BIGINT) AS set_id, (vec_id * 7919 % 2903) * 1e0 AS x, (vec_id * 6101 % 1907) * 1e0 AS y FROM embeddings) e),
+turned AS (SELECT *, scale * (COS(turn) * x - SIN(turn) * y) + 40 + out * (500e0 + vec_id * 1693 % 4001) AS to_x, scale * (SIN(turn) * x + COS(turn) * y) - 70 + out * (700e0 + vec_id * 2467 % 3989) AS to_y FROM tp)"""
+
+
+@query(
+    ask(
+        "SELECT set_id, COUNT(*) AS n, ROUND(MAX(scale * COS(turn)), 6) + 0 AS a, ROUND(MAX(scale * SIN(turn)), 6) + 0 AS c, CAST(40 AS DOUBLE) AS tx, CAST(-70 AS DOUBLE) AS ty FROM turned WHERE out = 0 GROUP BY set_id HAVING COUNT(*) >= 5",
+        _TURNED,
+    )
+)
+def t2_fit_turned(s: SparkSession, d: str) -> DataFrame:
+    """Turn, scale and shift found among points of which a third is elsewhere; the SQL counts the planted ones."""
+    base = s.read.parquet(f"{d}/embeddings.parquet")
+    matched = s.sql(f"WITH {_TURNED} SELECT set_id, x, y, to_x, to_y FROM turned".replace("embeddings", "{base}"), base=base)
+    fits = fit.fit_turned(matched, keys=["set_id"]).where("n >= 5")
+    return fits.select("set_id", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("a", "c", "tx", "ty")])
+
+
 @query(ask(f"SELECT set_id, i, j, {_FIT}, ROUND(score, 6) AS score FROM pairs", ORIENTED, UNIQUE, CROPS, POINTS, FITS))
 def j3_pair_grid_transforms(s: SparkSession, d: str) -> DataFrame:
     return tidy(fit.pair_grid_transforms(shared_points(s, d), crops(s, d))).withColumn("score", F.round("score", 6))

@@ -275,6 +275,16 @@ def _gated(s: SparkSession, d: str) -> DataFrame:
     return match.gate_keypoint_candidates(match.score_keypoint_candidates(_candidates(s, d)))
 
 
+@query(ask("SELECT set_id, i, j, CAST(2400 AS DOUBLE) AS tx, CAST(0 AS DOUBLE) AS ty, stripe_i, stripe_j, ROUND(LOG2(COUNT(*)) + 5, 6) AS score FROM mt GROUP BY ALL HAVING COUNT(*) >= 10", _KNN))
+def t5_keypoint_transforms(s: SparkSession, d: str) -> DataFrame:
+    """From descriptors to scored transforms; keypoints that match lie 2400 apart, so all agree and none is turned."""
+    points = view(s, d, "descriptors")
+    whole = points.select("set_id", "page_idx").distinct().select("*", *[F.lit(v).cast("long").alias(c) for c, v in (("cx0", 0), ("cy0", 0), ("cx1", 3000), ("cy1", 2000))])
+    wanted = points.select("set_id").distinct().select("set_id", *[F.lit(v).alias(n) for n, v in (("i", 0), ("j", 1), ("stripe_i", 2), ("stripe_j", 1))])
+    found = keypoints.keypoint_transforms(points, wanted, whole)
+    return _keys(found, *[(F.col(c) + 0.0).alias(c) for c in ("tx", "ty")], F.round("score", 6).alias("score"))
+
+
 @query(ask(f"SELECT {_KEYS}, inliers FROM c4", *_SCORE))
 def t6_gate_keypoint_candidates(s: SparkSession, d: str) -> DataFrame:
     return _keys(_gated(s, d), "inliers")

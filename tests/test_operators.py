@@ -1,12 +1,13 @@
 """Hand-made cases: quirks, ties, gaps and broken input."""
 
 import json
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from sheetloom.functions import geometry as g
-from sheetloom.operators import clean, graph, match
+from sheetloom.operators import clean, fit, graph, match
 from sheetloom.sources import manifests
 
 LINE = "set_id long, page_idx int, line_ord int, text string, bx0 long, by0 long, bx1 long, by1 long, gx0 long, gy0 long, gx1 long, gy1 long"
@@ -115,6 +116,50 @@ def test_turned_and_scaled_transforms_are_composed(spark):
     assert got.keys() == want.keys() and all(abs(x - y) <= 1e-6 * max(1, abs(y)) for k in want for x, y in zip(got[k], want[k]))
 
 
+def longest_by_hand(keys):
+    """Length of the longest rising subsequence."""
+    best = [1] * len(keys)
+    for k in range(len(keys)):
+        best[k] = 1 + max((best[m] for m in range(k) if keys[m] < keys[k]), default=0)
+    return max(best, default=0)
+
+
+def test_runs_of_names_are_longest(spark):
+    rng = random.Random(8)
+    pages = {p: [f"{rng.choice('AbC')}{rng.randint(1, 9)}.{rng.randint(0, 3)}" for _ in range(rng.randint(1, 25))] for p in range(12)}
+    rows = [line(p, k, t, 10 * k, 0, 10 * k, 500) for p, own in pages.items() for k, t in enumerate(own)]
+    found = {}
+    for r in clean.keep_monotone_names(clean.split_by_axis(spark.createDataFrame(rows, LINE))).collect():
+        found.setdefault(r.page_idx, []).append((r.name_idx, tuple(r.name), r.coord, r.text))
+    for p, own in pages.items():
+        keys = [(t[0].lower(), int(t[1]), float("0" + t[2:])) for t in own]
+        up, down = longest_by_hand(keys), longest_by_hand(keys[::-1])
+        run = sorted(found[p])
+        assert len(run) == max(up, down) and [c for _, _, c, _ in run] == sorted(c for _, _, c, _ in run)
+        pairs = list(zip(run, run[1:]))
+        assert all(a[1] < b[1] for a, b in pairs) if up > down else all(a[1] > b[1] for a, b in pairs)
+
+
+def test_turned_and_scaled_points_are_fitted(spark):
+    rng, rows, want = random.Random(9), [], {}
+    for n, (turn, scale) in enumerate([(0, 1), (179.9, 1), (-90, 2), (33.3, 0.4), (90, 1), (-0.2, 1.01)]):
+        a, c = scale * math.cos(math.radians(turn)), scale * math.sin(math.radians(turn))
+        want[n] = (a, c, 300.0, -20.0)
+        for k in range(60):
+            x, y = rng.uniform(0, 3000), rng.uniform(0, 2000)
+            u, v = a * x - c * y + 300, c * x + a * y - 20
+            if k % 5 < 2:  # two fifths are elsewhere
+                u, v = rng.uniform(-3000, 3000), rng.uniform(-3000, 3000)
+            rows.append((n, 0, 1, x, y, u + rng.uniform(-0.5, 0.5), v + rng.uniform(-0.5, 0.5)))
+    rows += [(90, 0, 1, 5.0, 5.0, 7.0, 7.0), (91, 0, 1, 5.0, 5.0, 7.0, 7.0), (91, 0, 1, 5.0, 5.0, 9.0, 7.0)]  # one point, and equal ones
+    fits = fit.fit_turned(spark.createDataFrame(rows, "set_id long, i int, j int, x double, y double, to_x double, to_y double")).collect()
+    assert {r.set_id for r in fits} == set(want)
+    for r in fits:
+        a, c, tx, ty = want[r.set_id]
+        assert abs(r.a - a) < 1e-3 and abs(r.c - c) < 1e-3 and abs(r.tx - tx) < 2 and abs(r.ty - ty) < 2 and 36 <= r.n <= 38
+        assert abs(math.cos(math.radians(r.rot)) - a / math.hypot(a, c)) < 1e-3
+
+
 def test_inclined_lines(spark):
     box = lambda *v: [F.lit(x) for x in v]
     row = spark.range(1).select(

@@ -34,6 +34,22 @@ def test_keypoints_place_pages_without_lines(spark):
     assert {(r.set_id, r.canvas_w, r.canvas_h) for r in canvases.collect()} == {(1, 4800, 2040), (2, 5000, 2030)}
 
 
+def test_turned_keypoints_are_the_last_resort(spark):
+    """Of two candidates of a pair, one of them turned, the straight one is taken; a pair with a turned one only keeps it, scored lower."""
+    straight = [(s, p, t, k, x, y, v) for s, p, t, k, x, y, v in keypoint_set(1, (1800, 40), 3)]
+    turned = []
+    for s, p, _, k, x, y, v in keypoint_set(1, (1800, 40), 4):
+        turned.append((s, p, 3 if p == 0 else 4, 100 + k, x, y, v) if p == 0 else (s, p, 4, 100 + k, 1500 - y, x + 100, v))
+    alone = [(2, *row[1:]) for row in turned]
+    schema = "set_id long, page_idx int, stripe int, kp_id long, x double, y double, vec array<float>"
+    compared = spark.createDataFrame([(1, 0, 1, 2, 1), (1, 0, 1, 3, 4), (2, 0, 1, 3, 4)], "set_id long, i int, j int, stripe_i int, stripe_j int")
+    crops = spark.createDataFrame([(n, p, 0, 0, 3000, 2000) for n in (1, 2) for p in (0, 1)], "set_id long, page_idx int, cx0 long, cy0 long, cx1 long, cy1 long")
+    loose = {"intersection_area_threshold": 2.0, "min_intersection_len_threshold": 0.0}
+    found = {r.set_id: r for r in keypoints.keypoint_transforms(spark.createDataFrame(straight + turned + alone, schema), compared, crops, **loose).collect()}
+    assert (found[1].stripe_i, found[1].tx, found[1].ty) == (2, 1800, 40) and found[2].stripe_i == 3
+    assert abs(found[2].score * 1.5 - found[1].score) < 0.5
+
+
 def test_keypoints_leave_complete_sets_to_their_lines(spark):
     tables = [view(spark, DATA, name) for name in ("pages", "grid_lines", "segments", "descriptors")]
     none = spark.createDataFrame([], "set_id long, i int, j int, stripe_i int, stripe_j int")
