@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,24 +106,51 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...], key: str = "key") -
     return hits.where("n = needed").groupBy(key).agg(F.collect_set("rule").alias("rules"))
 
 
+def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _walked(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """Values of type ``kind`` along an array: ``step`` takes a place, first 0, and an item, and gives the next place, whether there is a value, and the value.
+
+    An array that a fold adds to is copied with every item. Items are folded in stretches as
+    long as there are stretches, so n of them cost n times the root of n copied pointers, not n squared.
+    """
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, some, value = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.when(some, F.array_append(acc["out"], value)).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, stretch: Column) -> Column:
+        own = F.aggregate(stretch, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")), inner)
+        return _bind(own, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def stretches(every: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(every))).cast("int")
+        return F.when(F.size(every) > 0, F.transform(F.sequence(F.lit(0), F.size(every) - 1, width), lambda i: F.slice(every, i + 1, width))).otherwise(F.array())
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return _bind(items, lambda every: F.flatten(F.aggregate(stretches(every), start, outer, lambda acc: acc["out"])))
+
+
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
 def _matches(text: Column, order: int, rule: Rule) -> Column:
     """Spans of a rule: matches lie between the parts that splitting by the regex leaves."""
     gaps = F.transform(F.split(text, rule.regex, -1), lambda s: F.length(s))
     whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     tested = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    each = F.zip_with(whole, tested, lambda w, t: F.struct(F.length(w).alias("w"), F.length(t).alias("t")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    sizes = F.zip_with(whole, tested, lambda w, t: F.struct(F.length(w).alias("w"), F.length(t).alias("t")))
+    each = F.filter(F.zip_with(gaps, sizes, lambda g, s: F.struct(g.alias("g"), s["w"].alias("w"), s["t"].alias("t"))), lambda m: m["w"].isNotNull())
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + F.get(gaps, acc["i"])
+    def step(at: Column, m: Column) -> tuple[Column, Column, Column]:
+        begin = at + m["g"]
         end = begin + m["w"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        return F.struct(
-            (acc["i"] + 1).alias("i"), end.alias("at"), F.when(m["t"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")
-        )
+        return end, m["t"] >= rule.least, F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
 
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("spans"))
-    return F.aggregate(each, start, step, lambda acc: acc["spans"])
+    return _walked(each, SPAN, step)
 
 
 def _shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -151,7 +179,7 @@ def find_spans(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
         rows = rows.join(F.broadcast(found) if few else found, F.col(key) == F.col(at), "left")
     else:
         rows = rows.withColumn(named, F.lit(None).cast("array<string>"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(f"array<{SPAN}>")
     parts = []
     for i, rule in enumerate(rules):
         # for a single class a run of the least length is the same as a long enough run
@@ -184,14 +212,18 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     found = find_spans(df, text_col=text_col, out=spans)
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = F.array(*[F.lit(f"[{r.name}]") for r in RULES])
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    # four bytes a code point, so that a stretch is cut out without counting from the start
+    wide = F.encode(text, "UTF-32")
+    last = F.struct(F.length(text).alias("start"), F.lit(-1).alias("kind"), F.length(text).alias("end"))
+
+    def redacted(raw: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+            kept = F.decode(F.substring(raw, at * 4 + 1, (s["start"] - at) * 4), "UTF-32")
+            return F.greatest(at, s["end"]), s["start"] >= at, F.concat(kept, F.when(s["kind"] >= 0, F.get(names, s["kind"])).otherwise(F.lit("")))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        more = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.when(inside, acc["done"]).otherwise(more).alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
+        return F.array_join(_walked(F.array_append(F.col(spans), last), "string", step), "")
 
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = _bind(wide, redacted)
     return found.withColumn(text_col, F.when(F.size(spans) == 0, F.col(text_col)).otherwise(clean)).drop(spans)
 
 
