@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import checkpointed
+from ._util import checkpointed, fresh
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -33,44 +33,44 @@ def base_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     64-bit hashes of a text's windows with their positions; a text whose windows all
     differ is not sorted.
     """
-    taken = set(df.columns)
+    words, lines, grams, ordered, starts = fresh(df, "words", "lines", "grams", "sorted", "starts")
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumns(
         {
-            "_words": F.filter(F.split(text, WHITE), lambda w: w != ""),
-            "_lines": F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")),
+            words: F.filter(F.split(text, WHITE), lambda w: w != ""),
+            lines: F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")),
             "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         }
     )
     df = df.withColumn(
-        "_grams",
-        F.when(F.size("_words") < 3, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.slice("_words", 1, F.size("_words") - 2), lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2)))
+        grams,
+        F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(
+            F.transform(F.slice(words, 1, F.size(words) - 2), lambda w, i: F.xxhash64(w, F.get(F.col(words), i + 1), F.get(F.col(words), i + 2)))
         ),
     )
     df = df.withColumn(
-        "_sorted",
-        F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))),
+        ordered,
+        F.when(F.size(F.array_distinct(grams)) < F.size(grams), F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))),
     )
-    same = lambda x, i: x["g"].eqNullSafe(F.get(F.col("_sorted"), i)["g"])
-    df = df.withColumn("_starts", F.sort_array(F.transform(F.filter("_sorted", lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: x["i"])))
+    same = lambda x, i: x["g"].eqNullSafe(F.get(F.col(ordered), i)["g"])
+    df = df.withColumn(starts, F.sort_array(F.transform(F.filter(ordered, lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: x["i"])))
     # a start covers its three words, or those up to the next start
     covered = F.aggregate(
-        "_starts",
+        starts,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("till")),
         lambda acc, i: F.struct((acc["n"] + i + 3 - F.greatest(acc["till"], i)).alias("n"), (i + 3).alias("till")),
         lambda acc: acc["n"],
     )
     df = df.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
     )
-    return df.drop(*{"_words", "_lines", "_grams", "_sorted", "_starts"} - taken)
+    return df.drop(words, lines, grams, ordered, starts)
 
 
 def measures() -> dict[str, Column]:
