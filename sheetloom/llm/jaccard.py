@@ -435,9 +435,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with one first set of its leaves; pairs whose sets are then still in different
     components are checked too, all of them. Links are counted inside the components
     that come out, copies included; without ``links`` they are not counted. Null ids never
-    name a component unless it has no other. Extra columns are left out.
+    name a component unless it has no other. Extra columns are left out. ``limit`` is one half or more.
     """
     limit = limit or Threshold(80, 100)
+    if 2 * limit.num < limit.den:
+        raise ValueError("sets less than half alike may share no leaf")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = checkpointed(described_sets(rows, n))
     reps = checkpointed(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec", ignorenulls=True).alias("vec"), F.count(F.lit(1)).alias("copies")))
@@ -475,12 +477,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(df: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """The documents that name their component: one of each group stays, with all its columns.
+    """One row of each group stays, with all its columns: that of the smallest doc_id, null last, then of the smallest hash of its text.
 
-    Of rows that repeat an id, one stays for each different text. Documents without words
-    stay, as each is a group of its own.
+    Rows are told apart by their number, so rows that share an id but not a text are
+    judged each on its own; ``df`` must give the same rows in the same partitions whenever it is read, as tables do.
+    Documents without words stay, as each is a group of its own, but of equal ids and texts one stays.
     """
-    own, text = fresh(df, "named", "digest")
-    named = jaccard_components(df, links=False, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = df.join(named, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
-    return kept.withColumn(text, F.md5("text")).dropDuplicates(["doc_id", text]).drop(text)
+    row, digest = fresh(df, "row", "digest")
+    rows = df.withColumn(row, F.monotonically_increasing_id())
+    found = jaccard_components(rows, id_col=row, links=False, **options)
+    named = rows.select(row, "doc_id", F.md5("text").alias(digest))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(digest).alias("digest"), F.col(row).alias("row"))
+    first = found.join(named, row).groupBy("component_id").agg(F.min(order).alias("m"))
+    chosen = first.groupBy("m.id", "m.digest").agg(F.min("m.row").alias(row)).select(row)
+    return rows.join(chosen, row, "left_semi").drop(row)
