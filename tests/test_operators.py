@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from sheetloom.functions import geometry as g
-from sheetloom.operators import clean, fit, graph, match
+from sheetloom.operators import clean, fit, graph, match, place, raster
 from sheetloom.sources import manifests
 
 LINE = "set_id long, page_idx int, line_ord int, text string, bx0 long, by0 long, bx1 long, by1 long, gx0 long, gy0 long, gx1 long, gy1 long"
@@ -188,3 +188,55 @@ def test_json_sources_keep_places_and_broken_files(spark, tmp_path):
     assert [(r.line_ord, r.text) for r in manifests.grid_rows(read).orderBy("line_ord").collect()] == [(0, "A"), (1, "B")]
     manifests.write_json_results(read.select("set_id", "text"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == read.count()
+
+
+def test_pixels_meet_rectangles_through_cells(spark):
+    draw = random.Random(7)
+    spots = {(0, draw.randrange(700), draw.randrange(500)) for _ in range(3000)} | {(0, 100 + k % 40, 60 + k // 40) for k in range(1600)} | {(1, 5000 + 37 * k, 4090 + k) for k in range(60)}
+    pixels = spark.createDataFrame([(1, p, x, y, 0, 0, 0, f"m{x}") for p, x, y in spots], "set_id long, page_idx int, x long, y long, r int, g int, b int, fx string")
+    boxes = []
+    for _ in range(60):
+        x, y = draw.randrange(-20, 700), draw.randrange(-20, 500)
+        boxes.append((0, x, y, x + draw.choice([-3, 0, 1, 16, 90, 400]), y + draw.choice([-3, 0, 1, 16, 90, 400])))
+    boxes += [(1, 0, 0, 9000, 9000), (1, 5000, 4090, 5001, 4091), (2, 0, 0, 9, 9), (0, 96, 48, 160, 112)]
+    parts = spark.createDataFrame([(1, k, 1000, *box) for k, box in enumerate(boxes)], "set_id long, i int, j int, page_idx int, ox0 long, oy0 long, ox1 long, oy1 long")
+    texts = spark.createDataFrame([(1, p, x0 + 0.7, y0 + 0.2, x1 + 0.9, y1 + 0.0) for p, x0, y0, x1, y1 in boxes[:12] + boxes[-3:] if x0 >= 0 and y0 >= 0 and x1 >= 0 and y1 >= 0], "set_id long, page_idx int, x0 double, y0 double, x1 double, y1 double")
+    inside = lambda b, s: b[0] == s[0] and b[1] <= s[1] < b[3] and b[2] <= s[2] < b[4]
+    for most in (4, 256):
+        weights = {r.i: r.region_weight for r in place.overlap_weights(parts, pixels, most=most).collect()}
+        assert weights == {k: sum(inside(box, s) for s in spots) for k, box in enumerate(boxes)}
+        left = {(r.page_idx, r.x, r.y) for r in raster.mask_text(pixels, texts, most=most).collect()}
+        cut_boxes = [(t.page_idx, int(t.x0), int(t.y0), int(t.x1) + 1, int(t.y1) + 1) for t in texts.collect()]
+        assert left == {s for s in spots if not any(inside(box, s) for box in cut_boxes)}
+    assert raster.mask_text(pixels, texts.limit(0)).columns == pixels.columns
+    assert place.overlap_weights(parts.limit(0), pixels).count() == 0
+    assert {r.region_weight for r in place.overlap_weights(parts, pixels.limit(0)).collect()} == {0}
+
+
+def test_pivots_leave_out_blocks_but_no_match(spark):
+    draw = random.Random(3)
+    centres = [[40.0 * (k == d) for d in range(8)] for k in range(8)]
+    rows = []
+    for page in (0, 1):
+        for k in range(240):
+            vec = [c + draw.gauss(0, 1) for c in centres[k % 8]]
+            rows.append((1, page, 1, page * 1000 + k, float(k), float(page), vec))
+    first = {r[3]: r for r in rows}
+    rows += [(1, 1, 1, 1900 + k, 0.0, 0.0, [v + 0.01 for v in first[k][6]]) for k in range(30)]  # clear matches
+    rows += [(1, 1, 1, 1950, 0.0, 0.0, first[3][6]), (1, 1, 1, 1951, 0.0, 0.0, first[3][6])]  # two equal ones: none
+    rows += [(1, 2, 1, 2000, 0.0, 0.0, centres[0])]
+    table = spark.createDataFrame(rows, "set_id long, page_idx int, stripe int, kp_id long, x double, y double, vec array<double>")
+    wanted = spark.createDataFrame([(1, 0, 1, 1, 1), (1, 0, 2, 1, 1), (1, 1, 2, 1, 1)], "set_id long, i int, j int, stripe_i int, stripe_j int")
+    expected = {}
+    for r in rows[:240]:
+        near = sorted((math.dist(r[6], o[6]), o[3]) for o in rows if o[1] == 1)[:2]
+        if near[0][0] < 0.7 * near[1][0]:
+            expected[r[3]] = near[0][1]
+    assert 20 < len(expected) and 3 not in expected
+    for block in (24, 1024):
+        found = match.knn_ratio_match(table, wanted, block=block).collect()
+        assert {(r.i, r.j, r.kp_i): r.kp_j for r in found} == {(0, 1, a): b for a, b in expected.items()}
+    pairs = match.block_pairs(match.descriptor_blocks(table, 24), wanted).where("j = 1").groupBy("needed").count().collect()
+    count = {r.needed: r["count"] for r in pairs}
+    assert count[False] > count[True]
+    assert match.knn_ratio_match(table.limit(0), wanted).count() == 0
