@@ -35,6 +35,9 @@ ARRAY_BYTES = 1 << 18
 #: Up to this many text hashes (8 bytes each) are sent to every executor, to pick the texts that a join needs; beyond it the join shuffles all texts.
 BROADCAST_KEYS = 2_000_000
 
+#: Bits of a gram's hash that hold its place instead while the smallest one is looked for.
+LOW = np.uint64(2 * CHUNK - 1)
+
 _BYTE = np.random.default_rng(400).integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = np.random.default_rng(401).integers(0, 2**63, (12, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -63,39 +66,56 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> Iterator[list[tuple[int, ...]]]:
-    """Per text: (anchor, content hash, first start, number of starts, bytes), covering every window of the least length once.
+def stretches(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> Iterator[list[tuple]]:
+    """Per text: (anchor, content hash, first start, number of starts, bytes, loops), covering every window of the least length once.
 
     A stretch reaches from its first start to the end of the longest window at its last
-    one, or of the text.
+    one, or of the text. Where the anchor occurs again and again, as in a text of one
+    letter, a stretch goes on until the place it began with has left the windows; only
+    such a stretch, which loops, can hold a window twice.
     """
     short, long = lengths[0], lengths[-1]
     view = memoryview(np.ascontiguousarray(data))
 
-    def part(begin: int, bounds: np.ndarray, ends: np.ndarray) -> list[list[tuple[int, ...]]]:
+    def part(begin: int, bounds: np.ndarray, ends: np.ndarray) -> list[list[tuple]]:
         """Of the texts between ``bounds``, counted from ``begin``; ``ends`` are where their bytes end."""
         own = data[begin : begin + bounds[-1]]
-        out: list[list[tuple[int, ...]]] = [[] for _ in bounds[1:]]
+        out: list[list[tuple]] = [[] for _ in bounds[1:]]
         if len(own) < short:
             return out
         grams = gram_hashes(own, GRAM)
-        low = np.uint64(2 * CHUNK - 1)
-        packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-        at = (sliding_min(packed, short - GRAM + 1) & low).astype(np.int64)
+        places, width = np.arange(len(grams), dtype=np.uint64), short - GRAM + 1
+        at = (sliding_min((grams & ~LOW) | places, width) & LOW).astype(np.int64)
+        least = grams[at]
         valid = np.zeros(len(at), dtype=bool)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             valid[a : max(a, b - short + 1)] = True
+        # a new stretch begins with another gram, or where the gram found first has left the windows
         new = valid.copy()
-        new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
+        new[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
+        moved = np.flatnonzero(valid[1:] & ~new[1:] & (at[1:] != at[:-1])) + 1
+        if len(moved):
+            # the gram occurs again: its last place in the first window stands for all windows that hold it
+            behind = (LOW - (sliding_min((grams & ~LOW) | (LOW - places), width) & LOW)).astype(np.int64)
+            behind = np.where(grams[behind] == least, behind, at)
+            heads = np.flatnonzero(new)
+            stop = np.append(np.flatnonzero(new | ~valid), len(valid))
+            for s in np.unique(heads[np.searchsorted(heads, moved, side="right") - 1]).tolist():
+                end, s = int(stop[np.searchsorted(stop, s, side="right")]), int(behind[s]) + 1
+                while s < end:
+                    new[s] = True
+                    s = int(behind[s]) + 1
         end = valid.copy()
-        end[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
+        end[:-1] &= new[1:] | ~valid[1:]
         starts, lasts = np.flatnonzero(new), np.flatnonzero(end)
-        anchors = grams[at[starts]].view(np.int64).tolist()
+        anchors = least[starts].view(np.int64).tolist()
         rows = np.searchsorted(bounds, starts, side="right") - 1
         stops = np.minimum(lasts + long + begin, ends[rows])
-        for anchor, s, e, stop, row, base in zip(anchors, starts.tolist(), lasts.tolist(), stops.tolist(), rows.tolist(), bounds[rows].tolist()):
-            content = int.from_bytes(hashlib.blake2b(view[s + begin : stop], digest_size=8).digest(), "little", signed=True)
-            out[row].append((anchor, content, s - base, e - s + 1, stop - s - begin))
+        loops = (at[starts] != at[lasts]).tolist()
+        for anchor, s, e, stop, row, base, loop in zip(anchors, starts.tolist(), lasts.tolist(), stops.tolist(), rows.tolist(), bounds[rows].tolist(), loops):
+            salt = (e - s + 1).to_bytes(4, "little")  # equal bytes at the end of a text may hold more starts
+            content = int.from_bytes(hashlib.blake2b(view[s + begin : stop], digest_size=8, salt=salt).digest(), "little", signed=True)
+            out[row].append((anchor, content, s - base, e - s + 1, stop - s - begin, loop))
         return out
 
     i = 0
@@ -108,11 +128,30 @@ def stretches(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -
             found = []
             for a in range(first, last - short + 1, CHUNK - short + 1):
                 own = part(a, np.array([0, min(CHUNK, last - a)]), np.array([last]))[0]
-                found += [(x, c, s + a - first, n, size) for x, c, s, n, size in own]
+                found += [(x, c, s + a - first, *rest) for x, c, s, *rest in own]
             yield found
         i = j
 
 
+def pieces_of(stretch: bytes, n: int, lengths: tuple[int, ...]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(first start, number of starts, hash of the bytes that the piece's windows share, bytes) of a stretch with ``n`` starts.
+
+    A start is numbered from the furthest one that could hold the first place of the
+    anchor in its window, so that equal windows lie in pieces of one number.
+    """
+    short, long = lengths[0], lengths[-1]
+    grams = gram_hashes(np.frombuffer(stretch[: n - 1 + short], np.uint8), GRAM) & ~LOW
+    places = np.flatnonzero(grams == grams.min())
+    first = places[np.searchsorted(places, np.arange(n))]
+    lead = short - GRAM - first  # of the stretch's first start; each later start is one further
+    number = (lead + np.arange(n)) // PIECE
+    cuts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (number[1:] != number[:-1]))).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], n]):
+        q, d = int(number[lo]), int(lead[lo])
+        core = hashlib.blake2b(stretch[(q + 1) * PIECE - 1 - d : q * PIECE + short - d], digest_size=8, salt=str(q).encode()).digest()
+        yield lo, hi - lo, int.from_bytes(core, "little", signed=True), stretch[lo : hi - 1 + long]
+
+
 #: Ends every stretch in a suffix array; no UTF-8 text holds this byte.
 END = b"\xff"
 
@@ -251,11 +290,11 @@ def repeated_ranges(rows: DataFrame, lengths: tuple[int, ...]) -> tuple[DataFram
     """
     short, long = lengths[0], lengths[-1]
     rows = rows.where(F.octet_length("text") >= short)
-    fields = ("anchor", "content", "start", "n", "size")
+    fields = {"anchor": pa.int64(), "content": pa.int64(), "start": pa.int32(), "n": pa.int32(), "size": pa.int32(), "loops": pa.bool_()}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        kind = pa.list_(pa.struct([(f, pa.int64() if f in ("anchor", "content") else pa.int32()) for f in fields]))
+        kind = pa.list_(pa.struct(list(fields.items())))
         for part in slices(batches, "text", CHUNK):
             found = []
             keys = part.column("key").to_pylist()
@@ -266,16 +305,16 @@ def repeated_ranges(rows: DataFrame, lengths: tuple[int, ...]) -> tuple[DataFram
                 seen.clear()
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, kind)], ["key", "found"])
 
-    indexed = checkpointed(rows.mapInArrow(index, "key binary, found array<struct<anchor:long,content:long,start:int,n:int,size:int>>"))
+    indexed = checkpointed(rows.mapInArrow(index, "key binary, found array<struct<anchor:long,content:long,start:int,n:int,size:int,loops:boolean>>"))
     copies = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     all_stretches = indexed.select("key", F.inline("found"))
     # counts are checkpointed before they are joined, so that Spark can split an anchor that very many stretches share
-    shared = checkpointed(all_stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
+    shared = checkpointed(all_stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.bool_or("loops").alias("loops")).where("c > 1 or loops").select("anchor"))
     # texts seen by two tasks give equal stretches twice, which is right: they are copies
     shared = checkpointed(all_stretches.join(shared, "anchor", "left_semi"))
-    distinct = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start", "n", "size")).alias("at"))
+    distinct = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start", "n", "size")).alias("at"), F.bool_or("loops").alias("loops"))
     distinct = checkpointed(distinct)
-    crowd = checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    crowd = checkpointed(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.bool_or("loops").alias("loops")).where("m > 1 or loops").drop("loops"))
     wanted = distinct.join(crowd, "anchor").select("anchor", "content", (F.col("m") > CROWD).alias("crowded"), "at.*")
     wanted = checkpointed(wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "crowded", "start", "n", "size")).alias("wanted")))
     # one copy of each text that is wanted
@@ -292,13 +331,7 @@ def repeated_ranges(rows: DataFrame, lengths: tuple[int, ...]) -> tuple[DataFram
                     if not s["crowded"]:
                         out.append((s["anchor"], s["content"], 0, s["n"], None, b))
                         continue
-                    # starts are counted from the furthest that still holds the anchor, so that equal windows lie in pieces of one number
-                    grams = gram_hashes(np.frombuffer(b[:short], np.uint8), GRAM) & ~np.uint64(2 * CHUNK - 1)
-                    lead = short - GRAM - int(np.argmin(grams))
-                    for q in range(lead // PIECE, (lead + s["n"] - 1) // PIECE + 1):
-                        lo, hi = max(q * PIECE - lead, 0), min((q + 1) * PIECE - lead, s["n"])
-                        core = hashlib.blake2b(b[max((q + 1) * PIECE - 1 - lead, 0) : q * PIECE + short - lead], digest_size=8, salt=str(q).encode()).digest()
-                        out.append((s["anchor"], s["content"], lo, hi - lo, int.from_bytes(core, "little", signed=True), b[lo : hi - 1 + long]))
+                    out += [(s["anchor"], s["content"], *piece) for piece in pieces_of(b, s["n"], lengths)]
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*(pa.int64(),) * 5, pa.binary()))], names)
 

@@ -145,6 +145,26 @@ def test_repeats_in_texts_longer_than_a_chunk(spark):
     assert [found[i].n_removed for i in range(len(texts))] == gone == [700 + 445, 700, 1000, 445, 0]
 
 
+def test_texts_that_repeat_themselves_give_few_stretches(spark, monkeypatch):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = ["a" * 5000, "x" + "a" * 900 + noise(500) + "a" * 450, noise(300) + "ab" * 700 + noise(90), "ab" * 330, (noise(70) * 30)[:1999], (noise(200) * 9) + "-" * 500, "-" * 401, "a" * 400]
+    # one window repeated in between others, and a period that two texts meet in different phases
+    texts += [texts[4][33:900], noise(20) + texts[5][111:777] + noise(9), "a" * 200 + noise(30) + "a" * 270, ("=" * 130 + "\n") * 8, ("=" * 130 + "\n") * 5 + noise(250), "é" * 300, "0123456789" * 45]
+    for crowd, pieces in ((512, 1024), (1, 1024), (1, 1)):
+        monkeypatch.setattr(suffix, "CROWD", crowd)
+        monkeypatch.setattr(suffix, "PIECES", pieces)
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = sorted(tuple(r) for r in suffix.dedup_report(table).collect())
+        both = zip(removed_by_hand(texts, 400), removed_by_hand(texts, 240))
+        assert found == [(i, *x, y[1]) for i, (x, y) in enumerate(both)]
+    for unit in ("a", "ab", "abc" * 40 + "d"):
+        raw = (unit * (2_000_000 // len(unit))).encode()
+        own = next(suffix.stretches(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), (400,)))
+        assert sum(s[3] for s in own) == len(raw) - 399 and len(own) < len(raw) / 150
+        assert len({s[:2] for s in own}) < 40
+
+
 def test_repeats_are_cut_out_of_the_texts(spark):
     columns = ["doc_id", "text", "whole", "key", "again", "ranges", "lost", "h", "_text"]
     rows = [(1, "a" + PASSAGE, *columns[2:]), (2, PASSAGE, *columns[2:]), (2, PASSAGE, *columns[2:]), (3, None, *columns[2:]), (4, "é" * 300, *columns[2:])]
