@@ -200,7 +200,9 @@ def j4_page_pair_candidates(s: SparkSession, d: str) -> DataFrame:
 
 @query(ask("SELECT pc.set_id, pc.i, pc.j, a.k AS stripe_i, b.k AS stripe_j FROM pc CROSS JOIN (VALUES (1), (2), (3), (4)) a(k) CROSS JOIN (VALUES (1), (2), (3), (4)) b(k) LEFT JOIN al ON al.set_id = pc.set_id AND al.i = pc.i AND al.j = pc.j AND al.stripe_i = a.k AND al.stripe_j = b.k WHERE NOT placed OR al.i IS NOT NULL", *_PLACED, _SOME, _CANDIDATES, _ALLOWED))
 def j5_stripe_pair_candidates(s: SparkSession, d: str) -> DataFrame:
-    return match.stripe_pair_candidates(_pair_candidates(s, d), ordering.stripes_for_placement(_placed(s, d))[1])
+    placed = _placed(s, d)
+    pairs = match.page_pair_candidates(view(s, d, "pages"), placed, view(s, d, "grid_lines"))
+    return match.stripe_pair_candidates(pairs, ordering.stripes_for_placement(placed)[1])
 
 
 _KNN = """kn AS (SELECT a.set_id, 0 AS i, 1 AS j, 2 AS stripe_i, 1 AS stripe_j, a.kp_id AS kp_i, b.kp_id AS kp_j, list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) AS dist FROM descriptors a JOIN descriptors b ON a.set_id = b.set_id AND a.page_idx = 0 AND b.page_idx = 1),
@@ -502,8 +504,9 @@ def w2_place_with_keypoints(s: SparkSession, d: str) -> DataFrame:
     descriptors = view(s, d, "descriptors")
     known = descriptors.select("set_id").distinct().withColumn("page_idx", F.lit(1))
     lines = view(s, d, "grid_lines").join(known, ["set_id", "page_idx"], "left_anti")
-    pairs = match.page_pair_candidates(view(s, d, "pages"), _placed(s, d), lines)
-    compared = match.stripe_pair_candidates(pairs, ordering.stripes_for_placement(_placed(s, d))[1])
+    relations = _placed(s, d)
+    pairs = match.page_pair_candidates(view(s, d, "pages"), relations, lines)
+    compared = match.stripe_pair_candidates(pairs, ordering.stripes_for_placement(relations)[1])
     placed, canvases = keypoints.place_sheets(view(s, d, "pages"), lines, view(s, d, "segments"), descriptors, compared)
     return placed.join(canvases, "set_id").select("set_id", "page_idx", "rx0", "ry0", "rx1", "ry1", "canvas_w", "canvas_h")
 

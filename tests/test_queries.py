@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from sheetloom.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["s2_validate_suffix", "c1_orient_grid_lines", "c7_shift_and_clip_to_crop", "c9_keep_monotone_names", "b5_grid_crop_area", "b7_stripe_widths", "g13_line_intersection", "j3_pair_grid_transforms", "j6_knn_ratio_match", "t2_fit_robust", "t9_best_pair_transform", "p2_spanning_forest", "p8_overlap_regions", "r2_mask_text", "o2_pair_order_stats", "o7_acceptable_placement", "a1_rotate_grids", "a4_select_scale", "s3_read_entity_json", "s4_write_placements", "a8_disjoint_anchor_pairs", "w3_anchor_to_overall", "j4_page_pair_candidates", "j8_shared_labels"]
+SOME = ["s2_validate_suffix", "c1_orient_grid_lines", "c7_shift_and_clip_to_crop", "c9_keep_monotone_names", "b5_grid_crop_area", "b7_stripe_widths", "g13_line_intersection", "j3_pair_grid_transforms", "j6_knn_ratio_match", "t2_fit_robust", "t9_best_pair_transform", "p2_spanning_forest", "p8_overlap_regions", "r2_mask_text", "o2_pair_order_stats", "o7_acceptable_placement", "a1_rotate_grids", "a4_select_scale", "s3_read_entity_json", "s4_write_placements", "a8_disjoint_anchor_pairs", "w3_anchor_to_overall", "j4_page_pair_candidates", "j5_stripe_pair_candidates", "j8_shared_labels"]
 
 
 def rows(frame):
