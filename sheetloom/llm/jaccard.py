@@ -5,7 +5,8 @@ that at least one group is the same in both, so the groups' contents are the lea
 that sets are indexed under; points in one leaf are their counts per coordinate. The
 overlap of two points is at most the sum of coordinate minima, crowded leaves are
 searched through a tree of bounding boxes with that bound, and the pairs that survive
-are verified on the sets themselves.
+are verified on the sets themselves. A shingle in which two sets differ spoils one group
+at most, so linked sets share many leaves; pairs that share fewer are left out before.
 """
 
 from __future__ import annotations
@@ -89,18 +90,21 @@ class Threshold:
     def sizes_fit(self, a, b):  # noqa: ANN001, ANN201
         return (self.den * np.minimum(a, b)) >= (self.num * np.maximum(a, b))
 
+    def spoilt_fits(self, spoilt, smaller):  # noqa: ANN001, ANN201
+        """Whether so many groups can be spoilt by the shingles in which two linked sets differ."""
+        return self.num * spoilt <= (self.den - self.num) * smaller
+
     def overlap_fits(self, overlap, a, b):  # noqa: ANN001, ANN201
         return self.den * overlap >= self.num * (a + b - overlap)
 
 
-def leaf_keys(u: np.ndarray, limit: Threshold) -> np.ndarray:
-    """Leaves of a sorted set: one per group of its size class, and of the class below if a link can reach there.
+def _grouped(u: np.ndarray, limit: Threshold) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """A sorted set by groups: scheme, most shingles that differ there, number of groups, group of each shingle, starts of groups.
 
     Class k holds sizes from 2**k to 2**(k+1) - 1 and has more groups than linked sets
-    can differ in. Should so many groups be empty that an agreeing group might be an
-    empty one, the empty groups are leaves as well, so no link is lost.
+    can differ in. A set is grouped as its class is, and as the class below if a link can reach there.
     """
-    n, found = len(u), []
+    n = len(u)
     k = n.bit_length() - 1
     for scheme in (k, k - 1):
         most = limit.differing((2 << scheme) - 1) if scheme >= 0 else 0
@@ -108,13 +112,30 @@ def leaf_keys(u: np.ndarray, limit: Threshold) -> np.ndarray:
             continue
         groups = 11 * most // 10 + 2
         group = ((u >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        yield scheme, most, groups, group, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+
+
+def held_groups(u: np.ndarray, limit: Threshold) -> tuple[int, int]:
+    """How many groups of its class, and of the class below, hold shingles of a sorted set."""
+    held = {scheme: len(starts) for scheme, _, _, _, starts in _grouped(u, limit)}
+    k = len(u).bit_length() - 1
+    return held.get(k, 0), held.get(k - 1, 0)
+
+
+def leaf_keys(u: np.ndarray, limit: Threshold) -> np.ndarray:
+    """Leaves of a sorted set: one per group; the last bit is that of the class.
+
+    Should so many groups be empty that an agreeing group might be an
+    empty one, the empty groups are leaves as well, so no link is lost.
+    """
+    n, found = len(u), []
+    for scheme, most, groups, group, starts in _grouped(u, limit):
         content = np.add.reduceat(mix(u + GOLDEN), starts)
         held = group[starts]
         if groups - len(held) + min(most, limit.differing(n)) >= groups:
             missing = np.setdiff1d(np.arange(groups, dtype=np.uint64), held)
             held, content = np.concatenate([held, missing]), np.concatenate([content, np.zeros(len(missing), np.uint64)])
-        found.append(mix(content ^ mix(held * GOLDEN + np.uint64(scheme + 1))))
+        found.append((mix(content ^ mix(held * GOLDEN + np.uint64(scheme + 1))) & ~np.uint64(1)) | np.uint64(scheme & 1))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -136,24 +157,27 @@ def _print(u: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def described_sets(df: DataFrame, n: int) -> DataFrame:
-    """Per row: id, n, fp (hash of the set, null if empty), and at its first sight in a task the count vector."""
+def described_sets(df: DataFrame, n: int, limit: Threshold) -> DataFrame:
+    """Per row: id, n, fp (hash of the set, null if empty), and at its first sight in a task the count vector and the groups held (own, below)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in slices(batches, "text", 4 << 20):
-            sizes, prints, vectors = [], [], []
+        for part in slices(batches, "text", 1 << 20):
+            sizes, prints, vectors, held = [], [], [], []
             for u in shingle_sets(*text_buffers(part.column("text")), n):
                 fp = _print(u) if len(u) else None
+                known = fp is None or fp in seen
                 sizes.append(len(u))
                 prints.append(fp)
-                vectors.append(None if fp is None or fp in seen else count_vector(u))
+                vectors.append(None if known else count_vector(u))
+                held.append((None, None) if known else held_groups(u, limit))
                 seen.add(fp)
             if len(seen) > 500_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(vectors, pa.binary())], ["id", "n", "fp", "vec"])
+            own, below = (pa.array(x, pa.int64()) for x in zip(*held))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(vectors, pa.binary()), own, below], ["id", "n", "fp", "vec", "own", "below"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n long, fp long, vec binary")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n long, fp long, vec binary, own long, below long")
 
 
 def leaf_rows(df: DataFrame, n: int, limit: Threshold) -> DataFrame:
@@ -165,7 +189,7 @@ def leaf_rows(df: DataFrame, n: int, limit: Threshold) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 1 << 20):
             keys, prints, counts = [], [], []
             for u in shingle_sets(*text_buffers(part.column("text")), n):
                 fp = _print(u) if len(u) else None
@@ -186,6 +210,7 @@ def leaf_rows(df: DataFrame, n: int, limit: Threshold) -> DataFrame:
 def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, fp) sorted: pairs with the leaf's first set (kind 0), other pairs of its first sets (1), members of large leaves (2).
 
+    Of pairs the key is the last bit of the leaf's, which tells its class.
     Keeps the last few rows of the leaf being read, whatever its size.
     """
     keys, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -207,11 +232,11 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[own] = hub
         own = np.arange(len(k)) >= fresh
         star = own & (place >= 1)
-        found = [(np.zeros(star.sum(), np.int8), f[star], first[star], np.zeros(star.sum(), np.int64))]
+        found = [(np.zeros(star.sum(), np.int8), f[star], first[star], k[star] & 1)]
         for lag in range(1, SMALL_LEAF - 1):
             at = np.flatnonzero(own & (place < SMALL_LEAF) & (place > lag))
             if len(at):
-                found.append((np.ones(len(at), np.int8), f[at], f[at - lag], np.zeros(len(at), np.int64)))
+                found.append((np.ones(len(at), np.int8), f[at], f[at - lag], k[at] & 1))
         for lag in range(SMALL_LEAF + 1):
             at = np.flatnonzero(own & (place == SMALL_LEAF)) if lag else np.flatnonzero(own & (place >= SMALL_LEAF))
             found.append((np.full(len(at), 2, np.int8), f[at - lag], np.zeros(len(at), np.int64), k[at]))
@@ -282,7 +307,7 @@ def _block_pairs(limit: Threshold):  # noqa: ANN202
 
 def _sets_of(df: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 1 << 20):
             sets = list(shingle_sets(*text_buffers(part.column("text")), n))
             prints = [_print(u) if len(u) else None for u in sets]
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["fp", "set"])
@@ -297,6 +322,40 @@ def _bounded_pairs(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(limit), "a long, b long")
 
 
+def _facts(reps: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Per set: fp, n, class, the groups held and the crowded leaves of that class and of the one below."""
+    last = F.col("key").bitwiseAND(F.lit(1))
+    many = crowds.groupBy(F.col("a").alias("fp")).agg(*[F.count(F.when(last == bit, 1)).alias(f"many{bit}") for bit in (0, 1)])
+    of = lambda even: F.coalesce(F.when(even, F.col("many0")).otherwise(F.col("many1")), F.lit(0))
+    reps = reps.select("fp", "n", (F.length(F.bin("n")) - 1).alias("class"), "own", "below").join(many, "fp", "left")
+    even = F.col("class") % 2 == 0
+    return checkpointed(reps.select("fp", "n", "class", "own", "below", of(even).alias("many_own"), of(~even).alias("many_below")))
+
+
+def _promising(pairs: DataFrame, facts: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs that may link by their sizes and the leaves they share.
+
+    ``even`` and ``odd`` count the leaves shared that are not crowded, by the last bit of
+    the key; of crowded ones two sets share no more than each is in. Linked sets share all
+    groups that one of them holds but those spoilt by shingles in which they differ.
+    """
+    side = lambda x: facts.select(*[F.col(c).alias(x if c == "fp" else f"{x}_{c}") for c in facts.columns])
+    both = lambda f, c: f(F.col(f"a_{c}"), F.col(f"b_{c}"))
+    of = lambda x, c: F.when(F.col(f"{x}_class") == both(F.least, "class"), F.col(f"{x}_{c}own")).otherwise(F.col(f"{x}_{c}below"))
+    shared = F.when(both(F.least, "class") % 2 == 0, F.col("even")).otherwise(F.col("odd")) + F.least(of("a", "many_"), of("b", "many_"))
+    smaller = both(F.least, "n")
+    fits = (limit.den * smaller >= limit.num * both(F.greatest, "n")) & limit.spoilt_fits(F.greatest(of("a", ""), of("b", "")) - shared, smaller)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select(*pairs.columns)
+
+
+def _crowded(crowds: DataFrame, facts: DataFrame, limit: Threshold) -> DataFrame:
+    """The (key, a) of crowded leaves that may hold a linked pair which shares no other leaves: the set is in enough crowded ones of the key's class."""
+    own = F.col("key").bitwiseAND(F.lit(1)) == F.col("class") % 2
+    below = F.least(F.col("n"), F.expr("shiftleft(1L, class)") - 1)  # most shingles of a set of the class below
+    fits = F.when(own, limit.spoilt_fits(F.col("own") - F.col("many_own"), F.col("n"))).otherwise(limit.spoilt_fits(F.col("below") - F.col("many_below"), below))
+    return checkpointed(compact(crowds.join(facts.withColumnRenamed("fp", "a"), "a").where(fits).select("key", "a")))
+
+
 def _sets_named(named: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """(fp, set) of the sets ``named`` (fp, _id), from the texts of one document each.
 
@@ -441,25 +500,32 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if 2 * limit.num < limit.den:
         raise ValueError("sets less than half alike may share no leaf")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = checkpointed(described_sets(rows, n))
-    reps = checkpointed(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec", ignorenulls=True).alias("vec"), F.count(F.lit(1)).alias("copies")))
+    sets = checkpointed(described_sets(rows, n, limit))
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("vec", "own", "below")]
+    reps = checkpointed(sets.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), *first, F.count(F.lit(1)).alias("copies")))
     leaves = leaf_rows(rows, n, limit).repartition(shuffle_parts(df), "key").sortWithinPartitions("key", "fp")
     found = leaves.mapInArrow(_leaf_pairs, "kind tinyint, a long, b long, key long")
     found = checkpointed(found.groupBy("kind", "a", "b", "key").agg(F.count(F.lit(1)).alias("leaves")))
+    crowds = found.where("kind = 2").select("key", "a")
+    facts = _facts(reps, crowds)
+    counts = [F.sum(F.when(F.expr(which), F.col("leaves")).otherwise(0)).alias(name) for name, which in (("even", "key = 0"), ("odd", "key = 1"), ("star", "kind = 0"))]
+    pairs = checkpointed(_promising(found.where("kind < 2").groupBy("a", "b").agg(*counts), facts, limit).select("a", "b", "star"))
     # at first each set with the one of its leaves' first sets that it shares most leaves with
-    stars = found.where("kind = 0").groupBy("a").agg(F.max_by("b", F.struct("leaves", "b")).alias("b"))
+    stars = pairs.where("star > 0").groupBy("a").agg(F.max_by("b", F.struct("star", "b")).alias("b"))
     stars = _verified(_bounded_pairs(stars, reps, limit), reps, rows, n, limit)
     # labels from one step of these links: equal labels are surely joined
-    others = _apart(found.where("kind < 2").select("a", "b"), stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+    others = _apart(pairs.select("a", "b"), stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
     others = _verified(_bounded_pairs(others, reps, limit), reps, rows, n, limit)
     roots = checkpointed(components(stars.unionByName(others)))
-    crowds = found.where("kind = 2").select("key", "a")
+    # linked pairs that are not joined yet share crowded leaves alone, as all others were checked
+    crowds = _crowded(crowds, facts, limit)
+    alone = lambda pairs: _promising(pairs.distinct().select("a", "b", F.lit(0).alias("even"), F.lit(0).alias("odd")), facts, limit)
     members = _mixed(crowds, roots)
     if members.head(1):
         # with a few of the largest component first, so that what is left to compare in full is little
-        near = _verified(_bounded_pairs(_to_largest(members), reps, limit), reps, rows, n, limit)
+        near = _verified(_bounded_pairs(alone(_to_largest(members)), reps, limit), reps, rows, n, limit)
         members = _mixed(crowds, _moved(roots, near))
-        far = _verified(_crossed(members, reps, limit), reps, rows, n, limit)
+        far = _verified(alone(_crossed(members, reps, limit)).select("a", "b"), reps, rows, n, limit)
         roots = _joined(roots, near.unionByName(far))
     final = roots.withColumnRenamed("node", "fp")
     final = final.unionByName(final.select(F.col("root").alias("fp"), "root").distinct())  # a root is no node there
@@ -483,11 +549,16 @@ def keep_one(df: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     judged each on its own; ``df`` must give the same rows in the same partitions whenever it is read, as tables do.
     Documents without words stay, as each is a group of its own, but of equal ids and texts one stays.
     """
-    row, digest = fresh(df, "row", "digest")
+    row, digest, word, bits = fresh(df, "row", "digest", "word", "bits")
     rows = df.withColumn(row, F.monotonically_increasing_id())
     found = jaccard_components(rows, id_col=row, links=False, **options)
     named = rows.select(row, "doc_id", F.md5("text").alias(digest))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(digest).alias("digest"), F.col(row).alias("row"))
     first = found.join(named, row).groupBy("component_id").agg(F.min(order).alias("m"))
     chosen = first.groupBy("m.id", "m.digest").agg(F.min("m.row").alias(row)).select(row)
-    return rows.join(chosen, row, "left_semi").drop(row)
+    # one bit a row, 64 to a number, so that the texts stay where they are
+    bit = F.expr(f"cast({row} % 64 as int)")
+    marks = chosen.groupBy(F.expr(f"{row} div 64").alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(bits))
+    marks = checkpointed(compact(marks))
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks
+    return rows.withColumn(word, F.expr(f"{row} div 64")).join(marks, word).where(F.getbit(bits, bit) == 1).select(*df.columns)

@@ -504,3 +504,51 @@ def test_rows_that_share_an_id_are_judged_apart(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted([("3", "quite another text of a few words"), ("1", base), ("5", ""), ("6", "None")])
     with pytest.raises(ValueError):
         jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), limit=jaccard.Threshold(1, 4))
+
+
+def test_pairs_that_share_few_leaves_are_not_verified(spark, monkeypatch):
+    rng, seen = random.Random(5), []
+    prose = lambda n: " ".join(f"v{rng.randrange(9999)}" for _ in range(n))
+    passage = prose(150)
+    texts = [f"{prose(2200)} {passage} {prose(2200)}" for _ in range(24)]  # their counts are alike, their shingles are not
+    rows = spark.createDataFrame(list(enumerate([*texts, texts[0] + " end", texts[7] + " end"])), "doc_id long, text string").repartition(3).cache()
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: (seen.append(pairs.distinct().count()), verified(pairs, *rest))[1])
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = jaccard.keep_one(rows)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert {r.doc_id for r in kept.collect()} == set(range(24)) and sum(seen) <= 4
+    assert kept.columns == rows.columns and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # the texts stay where they are
+
+
+def test_leaves_shared_by_sets_about_the_threshold(spark):
+    rng, texts = random.Random(9), []
+    for size in (3, 6, 9, 17, 33, 65, 70, 130):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(26):
+            own = list(base)
+            for _ in range(rng.randrange(1 + size // 20 + 1)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = [f"u{rng.randrange(10**6)}"] * rng.randrange(1, 3)
+            texts.append(" ".join(own))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    for n, num, den in ((4, 85, 100), (5, 80, 100), (1, 1, 2)):
+        found = jaccard.jaccard_components(docs, n=n, limit=jaccard.Threshold(num, den)).collect()
+        assert sorted((tuple(r) for r in found), key=str) == components_by_hand(rows, n, num, den)
+    for n, limit in ((4, jaccard.Threshold(85, 100)), (1, jaccard.Threshold(1, 2))):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        sets = list(jaccard.shingle_sets(data, np.cumsum([0, *map(len, texts)]), n))
+        for a in sets:
+            for b in sets:
+                both = len(np.intersect1d(a, b))
+                k = min(len(a), len(b)).bit_length() - 1
+                if not limit.overlap_fits(both, len(a), len(b)):
+                    continue
+                held = max(jaccard.held_groups(x, limit)[len(x).bit_length() - 1 - k] for x in (a, b))
+                shared = np.intersect1d(jaccard.leaf_keys(a, limit), jaccard.leaf_keys(b, limit))
+                assert limit.spoilt_fits(held - int((shared % np.uint64(2) == k % 2).sum()), min(len(a), len(b)))
