@@ -29,6 +29,10 @@ SMALL_LEAF = 16
 BROADCAST_IDS = 1_000_000
 #: Sets of a component that are compared with as many others at once when links are counted.
 BLOCK = 64
+#: Members of a crowded leaf in a block: of those outside its largest component, and of all.
+MINORS, MEMBERS = 64, 256
+#: So many blocks of a leaf by as many meet in one cell.
+CELL = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -368,11 +372,11 @@ def _sets_named(named: DataFrame, rows: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    """The pairs of set hashes that link, counted on the sets of one document each.
+    """Those of the different pairs of set hashes that link, counted on the sets of one document each.
 
     Texts are read again for the documents named, so no set is stored.
     """
-    pairs = checkpointed(compact(pairs.distinct()))
+    pairs = checkpointed(compact(pairs))
     named = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     sets = _sets_named(checkpointed(named.join(reps, "fp").select("fp", F.col("id").alias("_id"))), rows, n)
 
@@ -385,7 +389,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, limit:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
-    return checkpointed(both.mapInArrow(run, "a long, b long"))
+    return checkpointed(compact(both.mapInArrow(run, "a long, b long")))
 
 
 def _rooted(x: DataFrame, c: str, roots: DataFrame) -> DataFrame:
@@ -417,11 +421,15 @@ def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(crowds: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, a, ra, minor): members of crowded leaves with several components; minor are those outside the leaf's largest."""
+    """(key, a, ra, minor, size, minors): members of crowded leaves with several components, and counts of a leaf's members.
+
+    Minor are those outside the leaf's largest component.
+    """
     members = _rooted(crowds, "a", roots)
     # pairs inside the largest need no look
     sizes = members.groupBy("key", "ra").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max_by("ra", F.struct("c", "ra")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "top")
+    counts = [F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("minors"), F.count(F.lit(1)).alias("roots")]
+    mixed = sizes.groupBy("key").agg(F.max_by("ra", F.struct("c", "ra")).alias("top"), *counts).where("roots > 1").drop("roots")
     return checkpointed(compact(members.join(mixed, "key").withColumn("minor", F.col("ra") != F.col("top")).drop("top")))
 
 
@@ -433,16 +441,29 @@ def _to_largest(members: DataFrame) -> DataFrame:
 
 
 def _crossed(members: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
-    """All pairs of sets of a leaf that lie in different components, within the bounds."""
+    """All pairs of sets of a leaf that lie in different components, within the bounds.
+
+    Blocks of minor members meet blocks of all members in the cells of a grid, CELL by CELL of
+    them in a cell, so a leaf of any size is dealt over tasks and small leaves share them.
+    """
     least = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("least"))  # at most a leaf per group of the set
     point = reps.select(F.col("fp").alias("a"), "n", "vec").join(least, "a")
     member = F.struct(F.col("a").alias("fp"), F.col("ra").alias("root"), "n", "minor", "vec", "least")
 
+    most = int(np.ceil(np.sqrt(shuffle_parts(reps))))
+    extent = lambda of, size: F.least(F.ceil(F.col(of) / (CELL * size)), F.lit(most)).cast("long")
+
     def blocks(of: DataFrame, name: str, size: int) -> DataFrame:
         placed = dense_slots(of, ["key"], ["a"], "slot", spread=8).join(point, "a")
-        return placed.groupBy("key", F.floor(F.col("slot") / size).alias("block")).agg(F.collect_list(member).alias(name)).drop("block")
-
-    crossed = blocks(members.where("minor"), "left", 64).join(blocks(members, "right", 256), "key").mapInArrow(_block_pairs(limit), "a long, b long")
+        placed = placed.groupBy("key", extent("minors", MINORS).alias("rows"), extent("size", MEMBERS).alias("cols"), F.floor(F.col("slot") / size).alias("block"))
+        return placed.agg(F.collect_list(member).alias(name))
+
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    left = blocks(members.where("minor"), "left", MINORS).select("key", F.expr("block % rows").alias("r"), every("cols").alias("c"), "left")
+    right = blocks(members, "right", MEMBERS).select("key", every("rows").alias("r"), F.expr("block % cols").alias("c"), "right")
+    # dealt by number, as a join that Spark splits for skew has thousands of tasks, each of which costs more than its blocks
+    left, right = (x.repartition(shuffle_parts(reps), "key", "r", "c") for x in (left, right))
+    crossed = left.join(right, ["key", "r", "c"]).mapInArrow(_block_pairs(limit), "a long, b long")
     return crossed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 

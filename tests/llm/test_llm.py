@@ -552,3 +552,26 @@ def test_leaves_shared_by_sets_about_the_threshold(spark):
                 held = max(jaccard.held_groups(x, limit)[len(x).bit_length() - 1 - k] for x in (a, b))
                 shared = np.intersect1d(jaccard.leaf_keys(a, limit), jaccard.leaf_keys(b, limit))
                 assert limit.spoilt_fits(held - int((shared % np.uint64(2) == k % 2).sum()), min(len(a), len(b)))
+
+
+def test_crowded_leaves_meet_in_few_tasks(spark, monkeypatch):
+    for name, size in (("MINORS", 16), ("MEMBERS", 32), ("CELL", 2)):
+        monkeypatch.setattr(jaccard, name, size, raising=False)
+    vec = jaccard.count_vector(np.arange(100, dtype=np.uint64))
+    reps = spark.createDataFrame([(i, 100, bytearray(vec)) for i in range(300)], "fp long, n long, vec binary")
+    leaves = {8: range(200), 10: range(180, 220), 12: range(220, 240), 14: range(5)}
+    root = {i: i - i % 3 if i < 150 else 150 for i in range(300)}
+    crowds = spark.createDataFrame([(k, i) for k, v in leaves.items() for i in v], "key long, a long").repartition(8)
+    roots = spark.createDataFrame(list(root.items()), "node long, root long")
+    conf = {"coalescePartitions.enabled": "false", "advisoryPartitionSizeInBytes": "1k", "skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "1.1"}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        crossed = jaccard._crossed(jaccard._mixed(crowds, roots), reps, jaccard.Threshold(85, 100))
+        assert crossed.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = {tuple(sorted(r)) for r in crossed.collect()}
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", *(f"spark.sql.adaptive.{k}" for k in conf)):
+            spark.conf.unset(k)
+    assert found == {(a, b) for v in leaves.values() for a in v for b in v if a < b and root[a] != root[b]}
