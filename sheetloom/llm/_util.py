@@ -14,12 +14,24 @@ from ..plans import shared_folder
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of the rows that go to a Python worker at once; Spark's own limit is 64 MB, for each task in the executor and in the worker.
+BATCH_BYTES = 4 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder that the cluster names."""
+    """Cut the lineage through the checkpoint folder that the cluster names.
+
+    Meanwhile rows go to Python in batches of BATCH_BYTES, unless the session sets a limit of its own.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key in conf.getAll:
+        return df.checkpoint()
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return df.checkpoint()
+    finally:
+        conf.unset(key)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -8,10 +8,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sheetloom.llm import bpe, chat, jaccard, neardup, packing, quality, secrets, shards, suffix, toxicity
+from sheetloom.llm._util import BATCH_BYTES, checkpointed
 
 random.seed(11)
 WORDS = [f"w{k}" for k in range(200)]
@@ -575,3 +577,30 @@ def test_crowded_leaves_meet_in_few_tasks(spark, monkeypatch):
         for k in ("spark.sql.autoBroadcastJoinThreshold", *(f"spark.sql.adaptive.{k}" for k in conf)):
             spark.conf.unset(k)
     assert found == {(a, b) for v in leaves.values() for a in v for b in v if a < b and root[a] != root[b]}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    def broken(batches):
+        raise ValueError("broken")
+        yield from batches
+
+    def run(of):
+        return checkpointed(texts.mapInArrow(of, "n long, size long")).collect()
+
+    found = run(sizes)
+    assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) < BATCH_BYTES + 100_000
+    with pytest.raises(Exception, match="broken"):
+        run(broken)
+    assert key not in spark.conf.getAll
+    spark.conf.set(key, "1m")
+    try:
+        assert max(r["size"] for r in run(sizes)) < 1_200_000 and spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
