@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,25 @@ def read_entity_json(spark: SparkSession, files: DataFrame, kind: str, root: str
     return wanted.join(raw, "_key", "left").drop("_key")
 
 
+def write_packed(files: DataFrame, path: str) -> None:
+    """Files (file_key, content) as lines of a few compressed files: a cluster lists, opens and plans a task for every small file, which takes far longer than to read it."""
+    files.select("file_key", "content").write.option("compression", "gzip").json(path)
+
+
+def read_packed_json(spark: SparkSession, files: DataFrame, kind: str, paths: list[str] | str) -> DataFrame:
+    """read_entity_json for files that write_packed put together; a key that is not there gives a row with null fields too."""
+    packed = spark.read.schema("file_key string, content string").json(paths).withColumnRenamed("file_key", "_key")
+    wanted = files.where(F.col("kind") == kind).select("set_id", "page_idx", F.col("file_key").alias("_key"))
+    parsed = F.from_json("content", SCHEMAS[kind])["parsed_text"] if kind == "parsed_text" else F.from_json("content", f"array<struct<{_typed(SCHEMAS[kind])}>>")
+    rows = wanted.join(packed, "_key", "left").select("set_id", "page_idx", F.posexplode_outer(parsed).alias("ord", "_r"))
+    return rows.select("set_id", "page_idx", "_r.*", "ord")
+
+
+def _typed(schema: str) -> str:
+    """A column list as the fields of a struct type."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", schema)
+
+
 def grid_rows(records: DataFrame) -> DataFrame:
     """Flat grid lines from records of read_entity_json, pages without lines left out."""
     box = lambda a, p: [F.get(F.col(a), i).cast("long").alias(p + n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
